@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("tables", "scalars")
+PARTS = ("tables", "scalars", "profiles", "preparation", "verdicts", "lifecycle")
 
 
 def load_all():

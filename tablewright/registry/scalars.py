@@ -119,7 +119,7 @@ def type_compatibility(spark, sf):
 
 
 @query("computed_column", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem""")
+SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem""")
 def computed_column(spark, sf):
     return table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge")
+        "l_orderkey", "l_linenumber", "l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge")
