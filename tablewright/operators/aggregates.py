@@ -168,28 +168,39 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], aggregates: dict[str, st
 
 # ---------------------------------------------------------------- value frequencies
 
+def stacked(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """(i, v): the values of several columns of one type below each other, from one scan."""
+    return df.select(F.posexplode(F.array(*values)).alias("i", "v"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) for all listed columns; null stays a value of its own.
 
-    Each branch reads one column only and pre-aggregates before its shuffle, so a value that
-    fills a third of the table arrives as one row per task.
+    One scan, pre-aggregated before its shuffle: a value that fills a third of the table
+    arrives as one row per task.
     """
-    return union_all([
-        df.groupBy(field(name).cast("string").alias("value"))
-          .agg(F.count(F.lit(1)).alias("n"))
-          .select(F.lit(name).alias("column"), "value", "n")
-        for name in columns
-    ])
+    names = F.array(*[F.lit(c) for c in columns])
+    return (stacked(df, [field(c).cast("string") for c in columns])
+            .groupBy("i", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+            .select(names[F.col("i")].alias("column"), "value", "n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact number of distinct values per column, null counted as one."""
-    return union_all([
-        df.select(field(name).alias("value")).distinct()
-          .agg(F.count(F.lit(1)).alias("distinct_count"))
-          .select(F.lit(name).alias("column"), "distinct_count")
-        for name in columns
-    ])
+    """Exact number of distinct values per column, null counted as one.
+
+    Columns of one type are stacked and share a scan and a shuffle; equal values are merged
+    before it.
+    """
+    by_type: dict[T.DataType, list[str]] = {}
+    for name in columns:
+        by_type.setdefault(df.schema[name].dataType, []).append(name)
+    parts = []
+    for names in by_type.values():
+        label = F.array(*[F.lit(c) for c in names])
+        parts.append(stacked(df, [field(c) for c in names]).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+                     .groupBy("i").agg(F.count(F.lit(1)).alias("distinct_count"))
+                     .select(label[F.col("i")].alias("column"), "distinct_count"))
+    return union_all(parts)
 
 
 def frequency_summary(counts: DataFrame) -> DataFrame:

@@ -131,28 +131,28 @@ def timeline_bins(low, high) -> Bins | None:
 
 
 def bin_counts(df: DataFrame, bins: dict[str, Bins]) -> DataFrame:
-    """(column, bin, n) for the non-empty bins of several columns, in one job.
+    """(column, bin, n) for the non-empty bins of several columns, in one scan.
 
-    Each branch reads one column; at most 50 bins exist, so every task sends that many rows.
+    At most 50 bins per column exist, so every task sends that many rows.
     """
     parts = []
-    for name, b in bins.items():
-        v = Q.value_column(df, name)
-        place = F.lit(b.fixed) if b.fixed is not None else F.least(
-            F.floor((v - F.lit(b.start)) / F.lit(b.width)), F.lit(b.count - 1))
-        parts.append(df.select(F.when(v.isNotNull(), place.cast("int")).alias("bin"))
-                     .where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(name).alias("column"), "bin", "n"))
+    for names in A.batches(list(bins), 60):
+        places = []
+        for name in names:
+            b, v = bins[name], Q.value_column(df, name)
+            place = F.lit(b.fixed) if b.fixed is not None else F.least(
+                F.floor((v - b.start) / b.width), F.lit(b.count - 1))
+            places.append(F.when(v.isNotNull(), place.cast("int")))
+        label = F.array(*[F.lit(n) for n in names])
+        parts.append(A.stacked(df, places).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+                     .select(label[F.col("i")].alias("column"), F.col("v").alias("bin"), "n"))
     return A.union_all(parts)
 
 
 def collect_histograms(df: DataFrame, bins: dict[str, Bins]) -> dict[str, list[tuple[float, int]]]:
     if not bins:
         return {}
-    counted = {}
-    for names in A.batches(list(bins), 40):
-        part = bin_counts(df, {n: bins[n] for n in names})
-        counted |= {(r["column"], r["bin"]): r["n"] for r in part.collect()}
+    counted = {(r["column"], r["bin"]): r["n"] for r in bin_counts(df, bins).collect()}
     return {name: [(start, counted.get((name, i), 0)) for i, start in enumerate(b.starts())]
             for name, b in bins.items()}
 

@@ -11,13 +11,13 @@ aggregation with map-side combine; no row is shuffled and nothing is dropped or
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.aggregates import as_double, batches, collect_measures, field, union_all
+from tablewright.operators.aggregates import as_double, batches, collect_measures, field, stacked
 
 STATE_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -65,6 +65,10 @@ def column_sizes(df: DataFrame, columns: Sequence[str],
             for name in columns}
 
 
+def _long_array(values: Iterable[int]) -> str:
+    return "array(" + ", ".join(f"{v}L" for v in values) + ")"
+
+
 @dataclass
 class Ranked:
     """What one pass over the sorted (value, count) pairs of a column yields."""
@@ -78,34 +82,29 @@ def rank_values(df: DataFrame, ranks: dict[str, Sequence[int]],
                 keep: dict[str, tuple[int, int]] | None = None) -> dict[str, Ranked]:
     """Values at 0-based ranks, and the sum over a range of ranks, for several columns.
 
-    Each branch reads one column and pre-aggregates it, so the sort per column sees distinct
-    values only; callers guarantee that these are few (``STATE_LIMIT``).
+    One scan reduces all columns to distinct values before the shuffle, so the sort per column
+    sees distinct values only; callers guarantee that these are few (``STATE_LIMIT``).
     """
     keep = keep or {}
     names = list(ranks)
     result: dict[str, Ranked] = {}
     for group in batches(names, 40):
-        pairs = union_all([
-            df.select(value_column(df, name).alias("v")).where("v IS NOT NULL")
-              .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-              .select(F.lit(i).alias("i"), "v", "n")
-            for i, name in enumerate(group)
-        ])
+        pairs = (stacked(df, [value_column(df, name) for name in group]).where("v IS NOT NULL")
+                 .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
         wanted = [sorted(set(ranks[name])) for name in group]
         width = max(1, max(map(len, wanted)))
-        table = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in w + [-1] * (width - len(w))])
-                          for w in wanted])
         bounds = [keep.get(name, (0, -1)) for name in group]
-        first = F.array(*[F.lit(b[0]).cast("bigint") for b in bounds])[F.col("i")]
-        last = F.array(*[F.lit(b[1]).cast("bigint") for b in bounds])[F.col("i")]
-        upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-        placed = pairs.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("n"))
-        overlap = F.greatest(F.lit(0).cast("bigint"),
-                             F.least(F.col("upto"), last + 1) - F.greatest(F.col("start"), first))
-        hit = [F.max(F.when((F.col("start") <= table[F.col("i")][j]) & (table[F.col("i")][j] < F.col("upto")),
-                            F.col("v"))).alias(f"r{j}") for j in range(width)]
+        placed = pairs.select(
+            "i", "v", "n", F.sum("n").over(Window.partitionBy("i").orderBy("v")).alias("upto")
+        ).selectExpr("i", "v", "upto", "upto - n AS start")
+        first, last = (f"{_long_array(b[k] for b in bounds)}[i]" for k in (0, 1))
+        overlap = f"greatest(0L, least(upto, {last} + 1) - greatest(start, {first}))"
+        hit = []
+        for j in range(width):
+            rank = f"{_long_array(w[j] if j < len(w) else -1 for w in wanted)}[i]"
+            hit.append(F.expr(f"max(CASE WHEN start <= {rank} AND {rank} < upto THEN v END)").alias(f"r{j}"))
         rows = placed.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"),
-                                       F.sum(F.col("v") * overlap).alias("kept"), *hit).collect()
+                                       F.expr(f"sum(v * {overlap})").alias("kept"), *hit).collect()
         for row in rows:
             i = row["i"]
             result[group[i]] = Ranked(row["distinct"],

@@ -306,12 +306,12 @@ def ml_class_check(spark, sf):
 _FIT = """
 WITH o AS (SELECT l_orderkey AS k, l_extendedprice AS y, l_quantity AS a, l_discount AS b,
                   row_number() OVER (ORDER BY l_orderkey) AS r, count(*) OVER () AS n FROM lineitem),
-cut AS (SELECT max(k) AS at FROM o WHERE r <= floor(n * 0.8)),
+cut AS (SELECT max(k) AS edge FROM o WHERE r <= floor(n * 0.8)),
 c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(y, a) AS ya, covar_pop(y, b) AS yb,
-             avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM o CROSS JOIN cut WHERE k <= at),
+             avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM o CROSS JOIN cut WHERE k <= edge),
 w AS (SELECT (bb * ya - ab * yb) / (aa * bb - ab * ab) AS wa, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS wb, my, ma, mb FROM c),
 m AS (SELECT wa, wb, my - wa * ma - wb * mb AS w0 FROM w),
-t AS (SELECT y, w0 + wa * a + wb * b AS p FROM o CROSS JOIN cut CROSS JOIN m WHERE k > at),
+t AS (SELECT y, w0 + wa * a + wb * b AS p FROM o CROSS JOIN cut CROSS JOIN m WHERE k > edge),
 e AS (SELECT avg((y - p) * (y - p)) AS mse, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) AS r2 FROM t)"""
 
 

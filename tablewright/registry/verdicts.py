@@ -149,8 +149,8 @@ def insight_text(spark, sf):
     return I.insights(profile_table(df), "text").select(F.col("name").alias("column_name"), "code")
 
 
-@query("insight_boolean", f"""WITH {EVENTS}, d AS ({per_column(["never", "even"], "bool_or({c}) AS some, bool_and({c}) AS every", "e")}) """
-       + _cases("d", two_values="true", constant="NOT some OR every"))
+@query("insight_boolean", f"""WITH {EVENTS}, d AS ({per_column(["never", "even"], "bool_or({c}) AS any_true, bool_and({c}) AS all_true", "e")}) """
+       + _cases("d", two_values="true", constant="NOT any_true OR all_true"))
 def insight_boolean(spark, sf):
     return _found(spark, sf, ["never", "even"], "boolean")
 
