@@ -146,9 +146,15 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def digest(c: Column) -> list[Column]:
+    """128 bits that stand for a value in a shuffle: two 64-bit hashes over the whole value."""
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+
+
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in all columns."""
-    counted = df.groupBy(*[field(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
+    """Rows that repeat an earlier row in all columns; digests are shuffled, not rows."""
+    row = F.struct(*[field(c) for c in df.columns])
+    counted = df.select(*digest(row)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     return counted.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
@@ -218,6 +224,35 @@ def frequency_summary(counts: DataFrame) -> DataFrame:
                     F.col("best.value").alias("top_value"), (-F.col("best.neg")).alias("top_count")))
 
 
+# Longer texts are counted by digest, so that a shuffle never carries them.
+LONG_TEXT = 128
+TIED_DIGESTS = 10_000
+
+
+def long_text_summary(df: DataFrame, column: str) -> dict:
+    """``frequency_summary`` of one column of long texts, without shuffling the texts."""
+    c = field(column)
+    counts = df.where(c.isNotNull()).select(*digest(c)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                       F.min("n").alias("least"), F.max("n").alias("most"),
+                       F.max(F.struct("n", "h1", "h2")).alias("top")).first()
+    nulls = df.where(c.isNull()).limit(1).count()
+    result = {"column": column, "distinct_count": found["values"] + nulls, "value_count": found["values"],
+              "non_null_count": found["rows"], "min_n": found["least"], "max_n": found["most"],
+              "top_value": None, "top_count": found["most"]}
+    if not found["values"]:
+        return result
+    if found["most"] == 1:      # all texts differ: the smallest of them wins the tie
+        result["top_value"] = df.agg(F.min(c)).first()[0]
+        return result
+    tied = counts.where(F.col("n") == found["most"]).select("h1", "h2")
+    few = tied.limit(TIED_DIGESTS + 1).count() <= TIED_DIGESTS
+    # Beyond that many ties each digest covers a tiny share of the rows: a plain join has no hot key.
+    winners = df.select(c.alias("v"), *digest(c)).join(F.broadcast(tied) if few else tied, ["h1", "h2"], "left_semi")
+    result["top_value"] = winners.agg(F.min("v")).first()[0]
+    return result
+
+
 def value_frequency(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> DataFrame:
     """The ``limit`` most frequent values of each column, most frequent first."""
     from pyspark.sql import Window

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import casts
@@ -117,9 +117,9 @@ def sample_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], per_chan
     """
     names = list(columns or [c for c in old.columns if c in new.columns and c not in keys])
     states = key_states(old, new, keys, names)
-    picked = A.union_all([
-        states.where(F.col("change") == change).orderBy(*[A.field(k) for k in keys]).limit(per_change)
-        for change in ("added", "removed", "modified")])
+    order = Window.partitionBy("change").orderBy(*[A.field(k) for k in keys])
+    picked = (states.where(F.col("change") != "unchanged").withColumn("__rank", F.row_number().over(order))
+              .where(F.col("__rank") <= per_change).drop("__rank"))
     chosen = old.sparkSession.createDataFrame(picked.collect(), picked.schema)
 
     def side(df: DataFrame, label: str) -> DataFrame:
@@ -144,7 +144,7 @@ def mean_shift(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = N
         columns = [c for c in A.numeric_columns(old)
                    if c in both and casts.is_numeric(new.schema[c].dataType)]
     rows = []
-    before, after = (_shift_stats(df, columns) for df in (old, new))
+    before, after = A.run_jobs(old.sparkSession, [lambda: _shift_stats(old, columns), lambda: _shift_stats(new, columns)])
     for c in columns:
         a, b = before[c], after[c]
         change = None
@@ -158,10 +158,13 @@ def mean_shift(old: DataFrame, new: DataFrame, columns: Sequence[str] | None = N
 
 def _shift_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     stats = A.collect_measures(df, {
-        c: {"mean": F.avg(Q.value_column(df, c)), "sd": F.stddev_samp(Q.value_column(df, c))}
+        c: {"mean": F.avg(Q.value_column(df, c)), "sd": F.stddev_samp(Q.value_column(df, c)),
+            "n": F.count(Q.value_column(df, c))}
         for c in columns})
-    medians = Q.exact_quantiles(df, {c: [0.5] for c in columns})
+    sizes = {c: (stats[c]["n"], stats[c]["n"]) for c in columns}
+    if any(n > Q.STATE_LIMIT for n, _ in sizes.values()):
+        sizes = Q.column_sizes(df, columns)
+    medians = Q.exact_quantiles(df, {c: [0.5] for c in columns}, sizes)
     for c in columns:
         stats[c]["median"] = medians[c][0.5]
     return stats
-

@@ -287,9 +287,13 @@ def profile_rows(df: DataFrame, order_by: Sequence[str] | None = None) -> list[t
             distinct |= {r["column"]: r["distinct_count"] for r in A.distinct_counts(df, names).collect()}
     texts = [n for n in columns if kinds[n] == "Text"]
     summary: dict[str, dict] = {}
-    for names in A.batches(texts, 50):
+    short = [n for n in texts if (first[n]["max_length"] or 0) <= A.LONG_TEXT]
+    for names in A.batches(short, 50):
         for r in A.frequency_summary(A.value_counts(df, names)).collect():
             summary[r["column"]] = r.asDict()
+    for name in texts:
+        if name not in short:
+            summary[name] = A.long_text_summary(df, name)
 
     # Numbers that hold nothing but 0, 1 and null are booleans.
     for name in columns:
@@ -402,7 +406,8 @@ def flat_profile(profile: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation
 
-PAIRS_PER_PASS = 150
+# Pairs per aggregation: small enough for the JVM to compile the generated code.
+PAIRS_PER_PASS = 10
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,

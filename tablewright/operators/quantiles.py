@@ -95,7 +95,8 @@ def rank_values(df: DataFrame, ranks: dict[str, Sequence[int]],
         width = max(1, max(map(len, wanted)))
         bounds = [keep.get(name, (0, -1)) for name in group]
         placed = pairs.select(
-            "i", "v", "n", F.sum("n").over(Window.partitionBy("i").orderBy("v")).alias("upto")
+            "i", "v", "n", F.sum("n").over(Window.partitionBy("i").orderBy("v").rowsBetween(
+                Window.unboundedPreceding, 0)).alias("upto")
         ).selectExpr("i", "v", "upto", "upto - n AS start")
         first, last = (f"{_long_array(b[k] for b in bounds)}[i]" for k in (0, 1))
         overlap = f"greatest(0L, least(upto, {last} + 1) - greatest(start, {first}))"
