@@ -14,6 +14,10 @@ from tablewright.operators.aggregates import field
 from tablewright.operators.columns import promote_temporal_columns
 
 INFER_ROWS = 10_000
+
+# Other names of the character sets Spark reads.
+CHARSETS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8", "ascii": "US-ASCII", "utf16": "UTF-16"}
+
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet"}
 
 
@@ -37,7 +41,7 @@ def scan_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str
 
     ``multi_line`` allows line breaks inside quotes but makes each file one task.
     """
-    reader = (spark.read.option("header", header).option("sep", delimiter).option("encoding", encoding)
+    reader = (spark.read.option("header", header).option("sep", delimiter).option("encoding", CHARSETS.get(encoding.lower(), encoding))
               .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if schema is not None:
         return reader.schema(schema).csv(path)
