@@ -192,8 +192,12 @@ def timeline(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- the profile
 
-def _first_pass(df: DataFrame, kinds: dict[str, str]) -> dict[str, dict]:
-    wanted: dict[str, dict] = {}
+_TABLE = "\0table"      # key of the measures of the table as a whole
+
+
+def _first_pass(df: DataFrame, kinds: dict[str, str]) -> tuple[int, dict[str, dict]]:
+    """Number of rows and the plain measures of every column."""
+    wanted: dict[str, dict] = {_TABLE: {"rows": F.count(F.lit(1))}}
     for name, kind in kinds.items():
         c = A.field(name)
         exprs = {"nulls": F.count_if(c.isNull())}
@@ -215,7 +219,8 @@ def _first_pass(df: DataFrame, kinds: dict[str, str]) -> dict[str, dict]:
             exprs |= {m: A.MEASURES[m](c) for m in
                       ("min_length", "max_length", "avg_length", "has_special", "has_control")}
         wanted[name] = exprs
-    return A.collect_measures(df, wanted)
+    found = A.collect_measures(df, wanted)
+    return found.pop(_TABLE)["rows"], found
 
 
 def _wanted_shares(numeric: Sequence[str], temporal: Sequence[str]) -> dict[str, tuple]:
@@ -267,8 +272,7 @@ def profile_rows(df: DataFrame, order_by: Sequence[str] | None = None) -> list[t
     """The profile as plain rows, one per column; see ``PROFILE_SCHEMA``."""
     columns = df.columns
     kinds = {f.name: casts.base_kind(f.dataType) for f in df.schema}
-    rows_total = df.count()
-    first = _first_pass(df, kinds)
+    rows_total, first = _first_pass(df, kinds)
 
     plain = [n for n in columns if kinds[n] in ("Numeric", "Temporal")]
     flat = [n for n in plain if first[n]["n"]]
@@ -422,9 +426,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
     if len(names) < 2:
         return spark.createDataFrame([], "col_i string, col_j string, r double")
     values = {n: Q.value_column(df, n) for n in names}
-    present = A.collect_measures(df, {n: {"n": F.count(values[n])} for n in names})
-    total = df.count()
-    gaps = {n for n in names if present[n]["n"] < total}
+    present = A.collect_measures(df, {n: {"missing": F.count_if(values[n].isNull())} for n in names})
+    gaps = {n for n in names if present[n]["missing"]}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     parts = []
     for batch in A.batches(pairs, PAIRS_PER_PASS):

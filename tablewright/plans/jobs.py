@@ -45,7 +45,8 @@ def cleaned(df: DataFrame, settings: Settings | str | None, restricted: bool = T
 
 def job_clean(spark: SparkSession, source: str, target: str, settings: Settings | str | None = "auto",
               restricted: bool = True, overwrite: bool = True) -> str:
-    return files.save(cleaned(files.load(spark, source), settings, restricted), target, overwrite=overwrite)
+    load = files.load_columnar if settings == "auto" else files.load
+    return files.save(cleaned(load(spark, source), settings, restricted), target, overwrite=overwrite)
 
 
 def job_convert(spark: SparkSession, source: str, target: str, settings: Settings | str | None = None,

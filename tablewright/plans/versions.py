@@ -135,11 +135,17 @@ class VersionStore:
 
     # -- create -------------------------------------------------------------
 
-    def version_create_raw(self, dataset: str, source: str, fmt: str | None = None) -> str:
-        """Register a file or table as the first version; nothing is copied."""
+    def version_create_raw(self, dataset: str, source: str, fmt: str | None = None,
+                           shape: tuple[int, int] | None = None) -> str:
+        """Register a file or table as the first version; nothing is copied.
+
+        ``shape`` gives the numbers of rows and columns where they are known already.
+        """
         fmt = fmt or files.format_of(source)
-        df = files.load(self.spark, source, fmt)
-        version = Version(str(uuid.uuid4()), None, dataset, "Raw", fmt, source, None, df.count(), len(df.columns))
+        if shape is None:
+            df = files.load(self.spark, source, fmt)
+            shape = df.count(), len(df.columns)
+        version = Version(str(uuid.uuid4()), None, dataset, "Raw", fmt, source, None, *shape)
         self._append("create", version)
         return version.version_id
 

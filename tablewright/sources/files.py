@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.aggregates import field
 from tablewright.operators.columns import promote_temporal_columns
+from tablewright.session import scratch_path
 
 INFER_ROWS = 10_000
 
@@ -89,6 +90,20 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options: Any)
     raise UnsupportedFormatError(f"unsupported format {fmt!r}")
 
 
+def load_columnar(spark: SparkSession, path: str, fmt: str | None = None, **options: Any) -> DataFrame:
+    """Like ``load``; text formats are parsed once into Parquet in the scratch folder.
+
+    Work that passes over a table several times would otherwise parse the text each time.
+    """
+    fmt = fmt or format_of(path)
+    df = load(spark, path, fmt, **options)
+    if fmt == "parquet":
+        return df
+    staged = scratch_path(spark, "columnar")
+    df.write.parquet(staged)
+    return spark.read.parquet(staged)
+
+
 # ---------------------------------------------------------------- sinks
 
 class DuplicateColumnError(ValueError):

@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablewright.operators.profile import profile_table
+from tablewright.operators.aggregates import run_jobs
+from tablewright.operators.profile import PROFILE_SCHEMA, profile_rows
 from tablewright.plans.versions import VersionStore
 from tablewright.sources import files
 
+ROW_COUNT = PROFILE_SCHEMA.fieldNames().index("row_count")
+
 LOG_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
     T.StructField("file", T.StringType()),
@@ -81,38 +85,56 @@ class IngestLog:
         return {r["file"] for r in done.select("file").distinct().collect()}
 
 
-def ingest_file(store: VersionStore, path: str, fmt: str) -> tuple[str, int, int]:
-    """Profile one file and register it as a dataset with a Raw and a Profiled version."""
-    dataset = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    known = (store.version_list(dataset).where((F.col("location") == path) & (F.col("stage") == "Profiled"))
-             .select("row_count", "column_count").first())
-    if known:   # a replayed batch had already come this far
-        return dataset, known["row_count"], known["column_count"]
-    raw = store.version_create_raw(dataset, path, fmt)
-    profile = profile_table(store.version_read(dataset, raw))
-    rows = profile.agg(F.max("row_count")).first()[0]
-    profile.write.mode("overwrite").parquet(f"{store.root}/profiles/{dataset}")
-    store.version_apply(dataset, [], "Profiled")
-    return dataset, rows, profile.count()
+def dataset_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def profile_file(store: VersionStore, path: str, fmt: str) -> tuple[int, int]:
+    """Profile one file and keep the profile; returns its numbers of rows and columns."""
+    table = files.load_columnar(store.spark, path, fmt)
+    rows = profile_rows(table)
+    profile = store.spark.createDataFrame(rows, PROFILE_SCHEMA)
+    profile.coalesce(1).write.mode("overwrite").parquet(f"{store.root}/profiles/{dataset_name(path)}")
+    return rows[0][ROW_COUNT] if rows else table.count(), len(table.columns)
+
+
+def register_file(store: VersionStore, path: str, fmt: str, shape: tuple[int, int]) -> None:
+    """A Raw and a Profiled version, unless a replayed batch had already come this far."""
+    name = dataset_name(path)
+    known = store.version_list(name).where((F.col("location") == path) & (F.col("stage") == "Profiled"))
+    if not known.take(1):
+        store.version_create_raw(name, path, fmt, shape=shape)
+        store.version_apply(name, [], "Profiled")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store: VersionStore, log: IngestLog, fmt: str,
                  auto_ingest: bool = True) -> None:
-    """The work on one micro-batch: its files (a bounded number) one after the other."""
+    """The work on one micro-batch: its files (a bounded number) are profiled side by side.
+
+    Versions are registered one after the other, as the table of versions has one writer.
+    """
     done = log.settled(batch_id)
     paths = sorted(r["__file"] for r in batch.select("__file").distinct().collect() if r["__file"] not in done)
-    log.append([(batch_id, p, "detected", None, None, None, None) for p in paths])
+    states = ["detected", "ready", "started"] if auto_ingest else ["detected"]
+    log.append([(batch_id, p, state, None, None, None, None) for p in paths for state in states])
     if not auto_ingest:
         return
-    for path in paths:
-        log.append([(batch_id, path, "ready", None, None, None, None),
-                    (batch_id, path, "started", None, None, None, None)])
+
+    def attempt(path: str) -> tuple[int, int] | str:
         try:
-            dataset, rows, columns = ingest_file(store, path, fmt)
+            return profile_file(store, path, fmt)
         except Exception as err:  # a broken file must not stop the stream
-            log.append([(batch_id, path, "failed", None, None, None, str(err).splitlines()[0])])
+            return (str(err).splitlines() or [type(err).__name__])[0]
+
+    outcomes = run_jobs(store.spark, [partial(attempt, p) for p in paths])
+    rows = []
+    for path, outcome in zip(paths, outcomes):
+        if isinstance(outcome, str):
+            rows.append((batch_id, path, "failed", None, None, None, outcome))
         else:
-            log.append([(batch_id, path, "succeeded", dataset, rows, columns, None)])
+            register_file(store, path, fmt, outcome)
+            rows.append((batch_id, path, "succeeded", dataset_name(path), *outcome, None))
+    log.append(rows)
 
 
 def stream_ingest(stream: DataFrame, store: VersionStore, log: IngestLog, fmt: str, checkpoint: str,
