@@ -9,11 +9,10 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators.clean import CleanSetting
-from tablewright.plans.steps import STEP_ALIASES, StepError, check_parameters, step_kind
+from tablewright.plans.steps import STATISTICAL_STEPS, STEP_ALIASES, StepError, check_parameters, step_kind
 from tablewright.sources import files
 
 DOCUMENT_VERSION = "0.1"
@@ -147,7 +146,11 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]],
 
 def run_document(spark: SparkSession, document: Document, source: DataFrame | str | None = None,
                  target: str | None = None, date: str | None = None, on_error: str = "skip") -> Report:
-    """load -> check -> steps -> write; both row counts come from the write job itself."""
+    """load -> check -> steps -> write.
+
+    Steps that need statistics pass over the input more than once, so text is then parsed once
+    into Parquet.  Row counts of Parquet come from its footers.
+    """
     started = time.monotonic()
     if isinstance(source, DataFrame):
         df = source
@@ -158,19 +161,21 @@ def run_document(spark: SparkSession, document: Document, source: DataFrame | st
         if fmt == "csv":
             how = {"header": document.input.has_header, "delimiter": document.input.delimiter,
                    "encoding": document.input.encoding}
-        df = files.load(spark, path, fmt, **how)
+        load = files.load_columnar if needs_statistics(document.steps) else files.load
+        df = load(spark, path, fmt, **how)
     problems = validate_document(df.columns, document)
     if problems:
         raise InvalidDocument(problems)
-    columns_before = len(df.columns)
-    before, after = Observation(), Observation()
-    seen = df.observe(before, F.count(F.lit(1)).alias("rows"))
-    result, applied, warnings = apply_steps(seen, document.steps, on_error)
-    counted = result.observe(after, F.count(F.lit(1)).alias("rows"))
-    path = files.save(counted, target or document.output.path_template, document.output.format,
+    result, applied, warnings = apply_steps(df, document.steps, on_error)
+    path = files.save(result, target or document.output.path_template, document.output.format,
                       document.output.overwrite, date)
-    return Report(before.get["rows"], after.get["rows"], columns_before, len(result.columns),
-                  applied, warnings, time.monotonic() - started, path)
+    after = files.load_written(spark, path, document.output.format, result.schema).count()
+    return Report(df.count(), after, len(df.columns), len(result.columns), applied, warnings,
+                  time.monotonic() - started, path)
+
+
+def needs_statistics(steps: Sequence[Mapping[str, Any]]) -> bool:
+    return any(STEP_ALIASES.get(s["op"], s["op"]) in STATISTICAL_STEPS for s in steps)
 
 
 def document_from_settings(name: str, settings: Mapping[str, CleanSetting], input_format: str = "csv",

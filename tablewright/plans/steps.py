@@ -60,6 +60,9 @@ STEPS: dict[str, StepKind] = {
         ("columns", "pattern", "replacement"), _columns),
 }
 
+# Steps that look at the whole table before they can be planned.
+STATISTICAL_STEPS = {"impute", "normalise_columns", "clip_outliers", "one_hot_encode"}
+
 # Other spellings of step names.
 STEP_ALIASES = {"normalize_columns": "normalise_columns", "standardize_nulls": "standardise_nulls"}
 

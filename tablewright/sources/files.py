@@ -158,3 +158,12 @@ def save(df: DataFrame, path: str, fmt: str | None = None, overwrite: bool = Tru
     """Write by the suffix of the target, else in the given format; returns the path."""
     target = path_from_template(path, date)
     return SINKS[format_of(target, default=fmt or "parquet")](df, target, overwrite=overwrite)
+
+
+def load_written(spark: SparkSession, path: str, fmt: str | None, schema: T.StructType) -> DataFrame:
+    """Read back what ``save`` wrote; the schema is known, so nothing is inferred."""
+    kind = format_of(path, default=fmt or "parquet")
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).option("escape", '"').csv(path) if kind == "csv" else reader.json(path)

@@ -111,6 +111,15 @@ def test_run_document(spark, people, tmp_path):
         DOC.run_document(spark, document, people, target=str(tmp_path / "o2.parquet"), on_error="fail")
 
 
+@pytest.mark.parametrize("suffix", ["csv", "jsonl", "parquet"])
+def test_run_from_text_to_each_format(spark, people, tmp_path, suffix):
+    source = files.sink_csv(people, str(tmp_path / "in.csv"))
+    document = DOC.Document.from_dict({"name": "x", "steps": [
+        {"op": "impute", "strategy": "mean", "columns": ["salary"]}]})
+    report = DOC.run_document(spark, document, source, target=str(tmp_path / f"out.{suffix}"))
+    assert (report.rows_before, report.rows_after, report.columns_after) == (5, 5, 4)
+
+
 def test_document_from_settings_renames_last(people):
     from tablewright.operators.clean import CleanSetting
     document = DOC.document_from_settings("x", {
