@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import base64
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) ->
         if not batch.num_rows:
             continue
         column = batch.column(text)
-        sizes = np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
         group = np.cumsum(sizes) // most
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
@@ -75,3 +79,21 @@ def tokenizer_path(name: str) -> str:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by themselves (PYTHONPATH or the working folder)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if root in map(os.path.abspath, filter(None, reachable)) or getattr(context, "_tablewright_sent", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-code-"), "tablewright-code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tablewright")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._tablewright_sent = True

@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, common
+from tablewright.llm import bpe, common, language, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = shipped
     return fn
 
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(common.documents(spark, sf_dir), common.tokenizer_path(BYTE_BPE))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(common.documents(spark, sf_dir))
@@ -30,3 +41,18 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     encoded = bpe.encode(docs, common.tokenizer_path(BYTE_BPE), decoded=True)
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def held_out():
+    """A quarter of the documents teaches nothing."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+    return language.predict(docs, language.train(learn_from.where(~held_out())))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return identified(docs, docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "fit")
