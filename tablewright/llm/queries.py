@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, common, language, tokens
+from tablewright.llm import bpe, common, language, mixing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,14 @@ def identified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return identified(docs, docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "fit")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return mixing.mix(docs, max_repeats=2.0).select("doc_id", "source", "epoch", "block", "block_order", "within")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.documents(spark, sf_dir))
