@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, common, language, mixing, quality, tokens
+from tablewright.llm import bpe, common, language, mixing, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(common.documents(spark, sf_dir)).select(
+        "doc_id", *[f"n_{kind}" for kind in secrets.BASE], F.sha2(secrets.as_text("base"), 256).alias("base_sha256"),
+        secrets.as_text("found").alias("spans"))
+
+
 def held_out():
     """A quarter of the documents teaches nothing."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
