@@ -158,3 +158,19 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return (df.select(df[id_column].alias("id"), df[text_column].cast("string").alias("text"))
             .mapInArrow(each, f"id {kind}, lang_pred string, score double, fit double")
             .withColumnRenamed("id", id_column))
+
+
+def keep_identified(df: DataFrame, model: Model, min_score: float = 0.5, min_fit: float = 0.0,
+                    text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language is determined, with at least ``min_score`` and ``min_fit``.  A fit below 0 means
+    that the text is less like any learned language than chance."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_column)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in common.pieces(batches, at, 1 << 19):
+            lang, score, fit = score_texts([t or "" for t in piece.column(at).to_pylist()], shared.value)
+            keep = (np.array(lang) != UNDETERMINED) & (score >= min_score) & (fit >= min_fit)
+            yield piece.filter(pa.array(keep))
+
+    return df.mapInArrow(each, df.schema)

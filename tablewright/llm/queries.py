@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, common, language, mixing, quality, repeats, secrets, sharding, simhash, tokens
+from tablewright.llm import bpe, common, embeddings, language, mixing, quality, repeats, secrets, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.as_text("found").alias("spans"))
 
 
+@query
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def held_out():
     """A quarter of the documents teaches nothing."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2

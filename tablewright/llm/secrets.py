@@ -160,6 +160,7 @@ def redact(df: DataFrame, scope: int = 200, id_column: str = "doc_id", text_colu
     found = (scan(df, scope, id_column, text_column).where(F.size("found") > 0)
              .select(F.col(id_column).alias("__id"), F.col("tag").alias("__tag"), F.col("found").alias("__found"))
              .dropDuplicates(["__id", "__tag"]))
+    found = common.stored(found, "secrets")  # its true size decides how it is joined
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     joined = df.join(found, F.col(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tag")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -211,3 +211,14 @@ def near_duplicates(df: DataFrame, width: int = 4, radius: int = RADIUS, id_colu
     out = rows.join(known, F.col("fp") == F.col("known"), "left")
     return out.select(F.col("id").alias(id_column), "fp",
                       F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, width: int = 4, radius: int = RADIUS, id_column: str = "doc_id",
+                text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component, and those without id.  Ids name documents: rows
+    of equal id stay or go together."""
+    found = near_duplicates(df, width, radius, id_column, text_column)
+    gone = (found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).cast("bigint").alias("__gone"))
+            .distinct())
+    gone = common.stored(gone, "gone")  # its true size decides how it is joined
+    return df.join(gone, df[id_column] == gone["__gone"], "left_anti")
