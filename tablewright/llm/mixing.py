@@ -11,7 +11,7 @@ window holds more than a source's blocks or one block's documents.
 
 Edge cases: a null source is a source of its own; a null or empty text has no words and counts as one token, so that
 it can be placed.  Rows of equal id and text are interchangeable.  An empty table gives an empty mixture.  Other columns are
-carried along.
+carried along; columns of the names that are added are replaced.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def mix(df: DataFrame, budget: float | None = None, max_repeats: float | None =
     ``budget`` is the number of tokens of the mixture; by default as many as ``df`` has.  A document that begins before
     the budget of its source ends is taken whole, so a source exceeds its budget by less than a document.
     """
-    spark = df.sparkSession
+    df = df.drop(*{"epoch", "block", "block_order", "within"}.difference({id_column, text_column, source_column}))
     text = df[text_column].cast("string")
     keyed = df.select(*df.columns, F.xxhash64(F.lit(seed), F.col(id_column), text).alias("__key"))
     keyed = keyed.withColumn("__block", F.pmod("__key", F.lit(BLOCKS)).cast("int"))

@@ -56,9 +56,12 @@ class Automaton:
         return root
 
     def _link(self) -> None:
-        """Failure links and popped counts, parents before children (children have larger numbers)."""
+        """Failure links and popped counts.  They depend on nodes that spell less, so nodes are taken by depth."""
         child, link, popped = self.child, [-1] * len(self.piece), [0] * len(self.piece)
-        for key, node in child.items():  # in the order of creation
+        depth = [0] * len(self.piece)
+        for key, node in child.items():  # parents are older than their children
+            depth[node] = depth[key >> 8] + 1
+        for key, node in sorted(child.items(), key=lambda item: depth[item[1]]):
             if self.piece[node]:
                 link[node], popped[node] = self.suffix, 1
                 continue
