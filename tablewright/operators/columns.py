@@ -103,15 +103,17 @@ def standardise_null_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame
     return map_columns(df, columns, text.standardise_nulls)
 
 
-def promote_temporal_columns(df: DataFrame) -> DataFrame:
-    """Turn string columns into timestamps where fewer than half of all rows fail to parse."""
+def promote_temporal_columns(df: DataFrame, share: float = 1.0) -> DataFrame:
+    """Turn string columns into timestamps where at least ``share`` of the present values parse.
+
+    With less than 1 the values that do not parse become null; by default nothing is lost.
+    """
     names = string_columns(df)
     if not names:
         return df
-    counts = df.agg(F.count(F.lit(1)).alias("rows"),
-                    *[F.count(field(c).try_cast("timestamp")).alias(f"t{i}")
-                      for i, c in enumerate(names)]).first()
-    dates = [c for i, c in enumerate(names) if counts["rows"] - counts[f"t{i}"] < counts["rows"] / 2]
+    counts = df.agg(*[F.count(field(c)).alias(f"n{i}") for i, c in enumerate(names)],
+                    *[F.count(field(c).try_cast("timestamp")).alias(f"t{i}") for i, c in enumerate(names)]).first()
+    dates = [c for i, c in enumerate(names) if counts[f"n{i}"] and counts[f"t{i}"] >= share * counts[f"n{i}"]]
     return map_columns(df, dates, lambda c: c.try_cast("timestamp")) if dates else df
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field as dataclass_field
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -38,6 +40,7 @@ class ModelResult:
     coefficients: dict[str, float] = dataclass_field(default_factory=dict)
     intercept: float | None = None
     seconds: float = 0.0
+    rows_with_gaps: int = 0  # rows that a missing feature keeps out of training and scoring
 
 
 def feature_columns(df: DataFrame, target: str) -> list[str]:
@@ -63,7 +66,7 @@ def ml_split(df: DataFrame, order_by: Sequence[str] | None = None,
     """First part for training, rest for testing, in the order of the keys.
 
     A single numeric or temporal key needs no sort: the key value at the cut is found exactly
-    and two filters do the rest (rows that share the cut value stay together).  Several keys
+    and two filters do the rest; among rows that share the cut value a hash decides.  Several keys
     take row positions.  Without a key a hash of the row decides.
     """
     if not order_by:
@@ -77,7 +80,16 @@ def ml_split(df: DataFrame, order_by: Sequence[str] | None = None,
         if cut == 0:
             return df.limit(0), df
         at = Q.order_statistics(df, {order_by[0]: [cut - 1]})[order_by[0]][cut - 1]
-        return df.where(key <= at), df.where((key > at) | key.isNull())
+        counts = df.agg(F.count_if(key < at).alias("below"), F.count_if(key == at).alias("ties")).first()
+        wanted = cut - counts["below"]
+        if wanted == counts["ties"]:
+            return df.where(key <= at), df.where((key > at) | key.isNull())
+        # The cut runs through rows of one key: the order of their hashes decides; equal rows stay together.
+        tagged = df.withColumn("__tie", F.xxhash64(*[A.field(c) for c in df.columns]).cast("decimal(38,0)") % (1 << 50))
+        tagged = tagged.withColumn("__tie", F.col("__tie").cast("double"))
+        last = Q.order_statistics(tagged.where(key == at), {"__tie": [wanted - 1]})["__tie"][wanted - 1]
+        first = (key < at) | ((key == at) & (F.col("__tie") <= last))
+        return (tagged.where(first).drop("__tie"), tagged.where(~first | key.isNull()).drop("__tie"))
     placed = row_index(df, order_by, "__position")
     cut = int(placed.count() * share)
     return (placed.where(F.col("__position") < cut).drop("__position"),
@@ -93,8 +105,9 @@ def ml_class_check(df: DataFrame, target: str) -> int:
 
 
 def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] | None = None,
-                exclude: Sequence[str] = ()) -> ModelResult:
-    """Train on the first 80 % and score on the rest."""
+                exclude: Sequence[str] = (), refuse_gaps: bool = False) -> ModelResult:
+    """Train on the first 80 % and score on the rest.  Rows that lack a feature are left out and counted in the result,
+    or refused."""
     if kind not in MODEL_KINDS:
         raise ModelError(f"unknown model {kind!r}; known: {', '.join(MODEL_KINDS)}")
     started = time.monotonic()
@@ -102,9 +115,13 @@ def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] |
     rows, names = ml_features(df, target, keep=keys, exclude=exclude)
     if kind != "linear_regression":
         ml_class_check(rows, target)
+    gaps = reduce(or_, (A.field(c).isNull() | F.isnan(A.field(c)) for c in names))
+    skipped = rows.agg(F.count_if(gaps)).first()[0]
+    if skipped and refuse_gaps:
+        raise ModelError(f"{skipped} rows lack a feature; fill them first")
     train, test = ml_split(rows, [f"__keep_{i}" for i, _ in enumerate(keys)] or None)
     inputs = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="skip")
-    result = ModelResult(kind, target, names)
+    result = ModelResult(kind, target, names, rows_with_gaps=skipped)
     if kind == "linear_regression":
         label = F.col(f"`{target}`").cast("double").alias("__label")
         prepared = [inputs.transform(part.select("*", label)).select("__features", "__label")
@@ -125,9 +142,11 @@ def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] |
         train, test = (inputs.transform(part.select("*", named)).select("__features", "__class")
                        for part in (train, test))
         indexer = labels.fit(train)
+        known = indexer.transform(train)
+        indexer.setHandleInvalid("keep")  # a class that training has not seen is a miss, not a row less
         learner = (LogisticRegression if kind == "logistic_regression" else DecisionTreeClassifier)(
             featuresCol="__features", labelCol="__label")
-        scored = learner.fit(indexer.transform(train)).transform(indexer.transform(test))
+        scored = learner.fit(known).transform(indexer.transform(test))
         hit = (F.col("__label") == F.col("prediction")).cast("double")
         result.accuracy = scored.agg(F.avg(hit)).first()[0]
     result.seconds = time.monotonic() - started

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators.clean import CleanSetting
@@ -130,13 +130,14 @@ class Report:
 
 def apply_steps(df: DataFrame, steps: Sequence[Mapping[str, Any]],
                 on_error: str = "skip") -> tuple[DataFrame, int, list[str]]:
-    """Fold the steps into the plan.  A step that cannot be planned is skipped with a warning."""
+    """Fold the steps into the plan.  A step that cannot be planned (unknown columns, wrong parameters or types) is
+    skipped with a warning; an error while its statistics are computed is raised."""
     warnings, applied = [], 0
     for number, step in enumerate(steps, start=1):
         try:
             df = step_kind(step["op"]).apply(df, step)
             applied += 1
-        except (ValueError, PySparkException) as err:
+        except (ValueError, AnalysisException, IllegalArgumentException) as err:
             if on_error == "fail":
                 raise
             reason = (str(err).splitlines() or [type(err).__name__])[0]

@@ -51,7 +51,8 @@ def job_clean(spark: SparkSession, source: str, target: str, settings: Settings
 
 def job_convert(spark: SparkSession, source: str, target: str, settings: Settings | str | None = None,
                 overwrite: bool = True) -> str:
-    return files.save(cleaned(files.load(spark, source), settings), target, overwrite=overwrite)
+    load = files.load_columnar if settings else files.load
+    return files.save(cleaned(load(spark, source), settings), target, overwrite=overwrite)
 
 
 def job_import(spark: SparkSession, source: str, url: str, table: str | None = None,
@@ -79,9 +80,10 @@ def job_export(df: DataFrame, target: str, query: str | None = None,
         df = sql_query(df, query, limit=None)
     if script:
         df = user_transform(df, script)
-    path = files.save(cleaned(df, settings, restricted), target, overwrite=overwrite)
+    result = cleaned(df, settings, restricted)
+    path = files.save(result, target, overwrite=overwrite)
     fmt = files.format_of(path, "parquet")
-    written = files.load(spark, path, fmt)
+    written = files.load_written(spark, path, fmt, result.schema)
     receipt = manifest.manifest_create(spark, path, fmt, df=written)
     digest = receipt.where("level = 'dataset'").first()["sha256"]
     snapshot = catalog.catalog_snapshot(written, path.rstrip("/").rsplit("/", 1)[-1], fmt, digest)

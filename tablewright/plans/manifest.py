@@ -13,17 +13,26 @@ MANIFEST_VERSION = "1"
 PRODUCER = "tablewright"
 
 
-def file_listing(spark: SparkSession, path: str, glob: str = "part-*") -> DataFrame:
+class ManifestError(ValueError):
+    """There is nothing to describe."""
+
+
+def file_listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, size) of data files; the content column is never read."""
     return _binary(spark, path, glob).select("file", "size")
 
 
 def _binary(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    """All files below a path, or the one file; hidden and metadata files (names with . or _ in front) are left out.
+    A file is named by its path inside the dataset."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    inside = F.when(F.startswith("path", F.lit(root + "/")), F.substr("path", F.lit(len(root) + 2)))
     return reader.load(path).select(
-        F.element_at(F.split(F.col("path"), "/"), -1).alias("file"), F.col("path"),
+        F.coalesce(inside, F.element_at(F.split(F.col("path"), "/"), -1)).alias("file"), F.col("path"),
         F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
@@ -45,8 +54,7 @@ def manifest_create(spark: SparkSession, data_path: str, fmt: str | None = None,
     described = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in written.schema)
     name = data_path.rstrip("/").rsplit("/", 1)[-1]
     now = datetime.datetime.now(datetime.timezone.utc)
-    parts = file_hash(spark, data_path, "part-*").select(
-        F.lit("file").alias("level"), "file", "size", "sha256")
+    parts = file_hash(spark, data_path).select(F.lit("file").alias("level"), "file", "size", "sha256")
     manifest = (parts.unionByName(dataset_digest(parts, name))
                 .withColumn("version", F.lit(MANIFEST_VERSION)).withColumn("producer", F.lit(PRODUCER))
                 .withColumn("created_at", F.lit(now)).withColumn("format", F.lit(fmt))
@@ -55,13 +63,19 @@ def manifest_create(spark: SparkSession, data_path: str, fmt: str | None = None,
                 .withColumn("schema", F.lit(described)))
     target = manifest_path(data_path)
     manifest.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    stored = spark.read.parquet(target)
+    if stored.where("level = 'file'").isEmpty():
+        raise ManifestError(f"no data files at {data_path}")
+    return stored
 
 
 def dataset_digest(parts: DataFrame, name: str) -> DataFrame:
-    """One row for the dataset: a hash over the sorted hashes of its part files."""
+    """One row for the dataset.  The hashes of names and contents are added up in four columns and hashed again: the
+    order of the files does not matter, and no list of them is gathered."""
+    own = F.sha2(F.concat_ws(":", "file", "sha256"), 256)
+    words = [F.sum(F.conv(F.substring(own, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
     return parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"),
-                     F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256")
+                     F.sha2(F.concat_ws(":", *[w.cast("string") for w in words]), 256).alias("sha256")
                      ).select(F.lit("dataset").alias("level"), F.lit(name).alias("file"), "size", "sha256")
 
 
@@ -91,4 +105,4 @@ def present_hashes(spark: SparkSession, data_path: str) -> DataFrame:
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
         return spark.createDataFrame([], "file string, size bigint, sha256 string")
-    return file_hash(spark, data_path, "part-*")
+    return file_hash(spark, data_path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators.clean import Settings, clean
 from tablewright.sources import files
@@ -12,19 +14,35 @@ from tablewright.sources import files
 PREVIEW_ROWS = 100
 
 
+_VIEWS = threading.Lock()
+
+
+def _temporary_view(spark: SparkSession, name: str) -> DataFrame | None:
+    try:
+        return spark.table(name) if spark.catalog.getTable(name).isTemporary else None
+    except AnalysisException:
+        return None
+
+
 def sql_tables(tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """Run a query in which each name stands for the given table.
 
-    The names are resolved while the query is analysed, so the views can go right after.
+    The names are resolved while the query is analysed; right after, views of the caller that have the same names are
+    put back, and the others go.  One query is analysed at a time.
     """
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    try:
-        return spark.sql(query.strip().rstrip(";"))
-    finally:
-        for name in tables:
-            spark.catalog.dropTempView(name)
+    with _VIEWS:
+        before = {name: _temporary_view(spark, name) for name in tables}
+        try:
+            for name, df in tables.items():
+                df.createOrReplaceTempView(name)
+            return spark.sql(query.strip().rstrip(";"))
+        finally:
+            for name, view in before.items():
+                if view is None:
+                    spark.catalog.dropTempView(name)
+                else:
+                    view.createOrReplaceTempView(name)
 
 
 def sql_query(df: DataFrame, query: str, limit: int | None = PREVIEW_ROWS) -> DataFrame:

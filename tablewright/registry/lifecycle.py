@@ -258,14 +258,26 @@ def manifest_create(spark, sf):
 
 @query("manifest_verify", """
 SELECT 'untouched' AS state, count(*) > 0 AS passed, CAST(4 AS BIGINT) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS new FROM orders
-UNION ALL SELECT 'rewritten', false, 0, 4, 4 FROM (SELECT count(*) FROM orders)""")
+UNION ALL SELECT 'rewritten', false, 0, 4, 4 FROM (SELECT count(*) FROM orders)
+UNION ALL SELECT 'partitioned', true, count(DISTINCT o_orderstatus), 0, 0 FROM orders
+UNION ALL SELECT 'one partition gone', false, count(DISTINCT o_orderstatus) - 1, 1, 0 FROM orders""")
 def manifest_verify(spark, sf):
     path = _written(spark, sf)
     manifest.manifest_create(spark, path)
     first = manifest.manifest_verify(spark, path).collect()
     files.sink_parquet(table(spark, sf, "orders").repartition(4, "o_custkey"), path)
     second = manifest.manifest_verify(spark, path).collect()
-    rows = [(state, r["passed"], r["ok"], r["missing"], r["new"]) for state, (r,) in (("untouched", first), ("rewritten", second))]
+    parts = scratch_path(spark, "receipt") + ".parquet"
+    orders = table(spark, sf, "orders")
+    orders.repartition(1).write.partitionBy("o_orderstatus").parquet(parts)
+    manifest.manifest_create(spark, parts)
+    third = manifest.manifest_verify(spark, parts).collect()
+    lost = orders.agg(F.min("o_orderstatus")).first()[0]
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{parts}/o_orderstatus={lost}")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    fourth = manifest.manifest_verify(spark, parts).collect()
+    rows = [(state, r["passed"], r["ok"], r["missing"], r["new"]) for state, (r,) in (
+        ("untouched", first), ("rewritten", second), ("partitioned", third), ("one partition gone", fourth))]
     return literal_rows(spark, rows, "state string, passed boolean, ok bigint, missing bigint, new bigint")
 
 

@@ -38,6 +38,16 @@ def scan_csv(spark, sf):
     return _orders_out(files.load(spark, path))
 
 
+WHOLE_DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@query("scan_csv_text", WHOLE_DOCUMENTS)
+def scan_csv_text(spark, sf):
+    """Texts with line breaks, quotes and blanks, out and in again."""
+    path = files.sink_csv(table(spark, sf, "documents"), scratch_path(spark, "scan") + ".csv")
+    return files.load(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 @query("scan_parquet", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
 def scan_parquet(spark, sf):
     return files.scan_parquet(spark, f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -51,6 +61,13 @@ def scan_json(spark, sf):
                                           F.char_length("text").cast("bigint").alias("text_length"))
 
 
+@query("scan_json_text", WHOLE_DOCUMENTS)
+def scan_json_text(spark, sf):
+    """The same through ``.json``, whose folders hold a record per line."""
+    path = files.sink_json(table(spark, sf, "documents"), scratch_path(spark, "scan") + ".json")
+    return files.load(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 @query("promote_temporal_columns", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS mostly,
        CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE 'open' END AS seldom,
@@ -75,7 +92,7 @@ def _sink(name, suffix, sink):
 
 _sink("sink_parquet", ".parquet", lambda df, path: files.sink_parquet(df, path, max_records_per_file=50_000))
 _sink("sink_csv", ".csv", files.sink_csv)
-_sink("sink_json", ".jsonl", files.sink_json)
+_sink("sink_json", ".json", files.sink_json)
 
 
 @query("job_clean", f"""

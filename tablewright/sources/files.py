@@ -14,7 +14,10 @@ from tablewright.operators.aggregates import field
 from tablewright.operators.columns import promote_temporal_columns
 from tablewright.session import scratch_path
 
-INFER_ROWS = 10_000
+RECORDS_PER_FILE = 1_000_000  # of text sinks, so that files that are one task each stay small
+
+# Stands for an empty text while a CSV file is read, where null and "" would otherwise be one.
+EMPTY = "\ue000empty\ue000"
 
 # Other names of the character sets Spark reads.
 CHARSETS = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf8": "UTF-8", "ascii": "US-ASCII", "utf16": "UTF-16"}
@@ -36,49 +39,74 @@ def format_of(path: str, default: str | None = None) -> str:
 
 
 def scan_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",",
-             encoding: str = "utf-8", multi_line: bool = False, schema: T.StructType | None = None,
+             encoding: str = "utf-8", multi_line: bool = True, schema: T.StructType | None = None,
              promote_dates: bool = True) -> DataFrame:
-    """CSV with types inferred from the first rows only; the scan itself gets a fixed schema.
+    """CSV with types that fit all rows: a column that one value does not fit stays text.
 
-    ``multi_line`` allows line breaks inside quotes but makes each file one task.
+    Line breaks inside quotes are part of a value, which makes each file one task; without ``multi_line`` large files
+    are split, and quoted breaks are not understood.  ``""`` is an empty text, nothing between delimiters is null.
     """
-    reader = (spark.read.option("header", header).option("sep", delimiter).option("encoding", CHARSETS.get(encoding.lower(), encoding))
-              .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
+    reader = (spark.read.option("header", header).option("sep", delimiter)
+              .option("encoding", CHARSETS.get(encoding.lower(), encoding)).option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line).option("emptyValue", EMPTY))
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.option("inferSchema", False).csv(path)
-    types = infer_types(raw.limit(INFER_ROWS))
-    df = raw.select(*[field(c) if t == "string" else field(c).try_cast(t).alias(c) for c, t in types.items()])
+        return _with_empty_texts(reader.schema(schema).csv(path))
+    raw = _with_empty_texts(reader.option("inferSchema", False).csv(path))
+    types = infer_types(raw)
+    df = raw.select(*[field(c) if t == "string" else field(c).cast(t).alias(c) for c, t in types.items()])
     return promote_temporal_columns(df) if promote_dates else df
 
 
+def _with_empty_texts(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(field(f.name) == EMPTY, "").otherwise(field(f.name)).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else field(f.name) for f in df.schema])
+
+
 # Type tests in the order they are tried on a text column.
+# A number that is written in another way than it would be written back, such as 007, is a code and stays text.
 TYPE_TESTS = {
-    "bigint": lambda c: c.try_cast("bigint").isNotNull() & ~c.contains("."),
-    "double": lambda c: c.try_cast("double").isNotNull(),
+    "bigint": lambda c: c.rlike("^(0|-?[1-9][0-9]*)$") & c.try_cast("bigint").isNotNull(),
+    "double": lambda c: ~c.rlike("^[+-]?0[0-9]|^[+]|^\\s|\\s$|[dDfF]$") & c.try_cast("double").isNotNull(),
     "boolean": lambda c: F.lower(c).isin("true", "false"),
 }
 
 
-def infer_types(head: DataFrame) -> dict[str, str]:
-    """The first type that all present values of a text column can be read as."""
-    row = head.agg(*[F.count_if(field(c).isNotNull()).alias(f"n{i}") for i, c in enumerate(head.columns)],
-                   *[F.count_if(test(field(c))).alias(f"{t}{i}")
-                     for i, c in enumerate(head.columns) for t, test in TYPE_TESTS.items()]).first()
+def infer_types(df: DataFrame) -> dict[str, str]:
+    """The first type that all present values of a text column can be read as, in one pass over all rows."""
+    row = df.agg(*[F.count_if(field(c).isNotNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
+                 *[F.count_if(test(field(c))).alias(f"{t}{i}")
+                   for i, c in enumerate(df.columns) for t, test in TYPE_TESTS.items()]).first()
     return {c: next((t for t in TYPE_TESTS if row[f"n{i}"] and row[f"{t}{i}"] == row[f"n{i}"]), "string")
-            for i, c in enumerate(head.columns)}
+            for i, c in enumerate(df.columns)}
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_json(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    """A document with an array of records, or (for scale) one record per line."""
-    reader = spark.read.option("multiLine", not lines)
+def scan_json(spark: SparkSession, path: str, lines: bool | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """A document with an array of records, or (for scale) one record per line; the file tells which if ``lines`` does
+    not."""
+    reader = spark.read.option("multiLine", not (holds_lines(spark, path) if lines is None else lines))
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def holds_lines(spark: SparkSession, path: str) -> bool:
+    """A folder, as Spark writes it, has a record per line; a file has them unless it begins with a bracket."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target) or system.getFileStatus(target).isDirectory():
+        return True
+    stream = system.open(target)
+    try:
+        byte = stream.read()
+        while byte in (9, 10, 13, 32, 0xEF, 0xBB, 0xBF):  # white space and a byte order mark
+            byte = stream.read()
+        return byte != ord("[")
+    finally:
+        stream.close()
+
+
 def load(spark: SparkSession, path: str, fmt: str | None = None, **options: Any) -> DataFrame:
     fmt = fmt or format_of(path)
     if fmt == "csv":
@@ -86,7 +114,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options: Any)
     if fmt == "parquet":
         return scan_parquet(spark, path)
     if fmt in ("json", "jsonl"):
-        return scan_json(spark, path, lines=fmt == "jsonl" or options.get("lines", False))
+        return scan_json(spark, path, lines=True if fmt == "jsonl" else options.get("lines"))
     raise UnsupportedFormatError(f"unsupported format {fmt!r}")
 
 
@@ -137,16 +165,20 @@ def sink_parquet(df: DataFrame, path: str, overwrite: bool = True, row_group_byt
     return path
 
 
-def sink_csv(df: DataFrame, path: str, overwrite: bool = True) -> str:
+def sink_csv(df: DataFrame, path: str, overwrite: bool = True, max_records_per_file: int = RECORDS_PER_FILE) -> str:
+    """Blanks, quotes, line breaks and empty texts are written so that ``scan_csv`` reads the same values back."""
     check_columns(df)
-    df.write.mode(_mode(overwrite)).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (df.write.mode(_mode(overwrite)).option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("maxRecordsPerFile", max_records_per_file).csv(path))
     return path
 
 
-def sink_json(df: DataFrame, path: str, overwrite: bool = True) -> str:
+def sink_json(df: DataFrame, path: str, overwrite: bool = True, max_records_per_file: int = RECORDS_PER_FILE) -> str:
     """One record per line; null fields are kept so that every record has all columns."""
     check_columns(df)
-    df.write.mode(_mode(overwrite)).option("ignoreNullFields", False).json(path)
+    (df.write.mode(_mode(overwrite)).option("ignoreNullFields", False)
+     .option("maxRecordsPerFile", max_records_per_file).json(path))
     return path
 
 
@@ -165,5 +197,4 @@ def load_written(spark: SparkSession, path: str, fmt: str | None, schema: T.Stru
     kind = format_of(path, default=fmt or "parquet")
     if kind == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.schema(schema)
-    return reader.option("header", True).option("escape", '"').csv(path) if kind == "csv" else reader.json(path)
+    return scan_csv(spark, path, schema=schema) if kind == "csv" else spark.read.schema(schema).json(path)

@@ -31,11 +31,59 @@ def test_csv_options(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "two"), (3, "four")]
 
 
-def test_csv_value_beyond_inferred_rows_becomes_null(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "INFER_ROWS", 2)
+def test_csv_keeps_every_value(spark, tmp_path):
     path = tmp_path / "x.csv"
-    path.write_text("v\n1\n2\nlate\n")
-    assert [r[0] for r in files.scan_csv(spark, str(path)).collect()] == [1, 2, None]
+    path.write_text("v,code,day\n" + "".join(f"{i},{i:03d},2024-01-02\n" for i in range(12_000)) + "late,x,open\n")
+    df = files.scan_csv(spark, str(path))
+    assert [f.dataType.simpleString() for f in df.schema] == ["string"] * 3
+    assert df.where("v is null or code is null or day is null").isEmpty() and df.where("code = '007'").count() == 1
+
+
+@pytest.mark.parametrize("suffix", [".csv", ".json", ".jsonl", ".parquet"])
+def test_texts_survive_a_round_trip(spark, tmp_path, suffix):
+    texts = ["a\nb", 'say "x", y', " blanks ", "", None, "007", "back\\slash", "c\r\nd", "'", "é😀", "null", "1,5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").repartition(2)
+    path = files.save(df, str(tmp_path / ("t" + suffix)))
+    for got in (files.load(spark, path), files.load_written(spark, path, None, df.schema)):
+        assert dict(map(tuple, got.collect())) == dict(enumerate(texts))
+
+
+def test_json_array_or_lines_is_seen_from_the_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text(' \n[{"a": 1},\n {"a": 2}]')
+    (tmp_path / "b.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert files.load(spark, str(tmp_path / "a.json")).count() == 2
+    assert files.load(spark, str(tmp_path / "b.json")).count() == 3
+
+
+def test_manifest_of_a_single_file_and_of_partitions(spark, tmp_path):
+    path = tmp_path / "one.csv"
+    path.write_text("a\n1\n")
+    manifest.manifest_create(spark, str(path))
+    assert manifest.manifest_verify(spark, str(path)).first()["passed"]
+    path.write_text("a\n1\n2\n")
+    row = manifest.manifest_verify(spark, str(path)).first()
+    assert not row["passed"] and row["changed"] == 1
+    parts = str(tmp_path / "p.parquet")
+    spark.range(8).selectExpr("id", "id % 2 AS k").coalesce(1).write.partitionBy("k").parquet(parts)
+    manifest.manifest_create(spark, parts)
+    row = manifest.manifest_verify(spark, parts).first()
+    assert row["passed"] and row["ok"] == 2
+    (tmp_path / "none.parquet").mkdir()
+    with pytest.raises(manifest.ManifestError):
+        manifest.manifest_create(spark, str(tmp_path / "none.parquet"), "parquet", df=spark.range(0))
+
+
+def test_sql_leaves_views_of_the_caller(spark):
+    spark.range(3).createOrReplaceTempView("data")
+    assert sql.sql_query(spark.range(5), "SELECT count(*) AS n FROM data").first()[0] == 5
+    assert spark.table("data").count() == 3
+    spark.catalog.dropTempView("data")
+
+
+def test_runtime_errors_are_not_skipped(spark):
+    broken = spark.range(3).selectExpr("CASE WHEN id = 2 THEN raise_error('broken') ELSE CAST(id AS DOUBLE) END AS v")
+    with pytest.raises(Exception, match="broken"):
+        DOC.apply_steps(broken, [{"op": "impute", "strategy": "mean", "columns": ["v"]}])
 
 
 def test_json_document_and_lines(spark, tmp_path):
