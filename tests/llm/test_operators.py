@@ -220,7 +220,7 @@ def test_sharding(docs, edge, cell, monkeypatch):
         assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(16))
         assert all(len(v) == 1 for v in groups.values())
         if df is docs:
-            assert max(loads.values()) - min(loads.values()) < 0.05 * max(loads.values())
+            assert max(loads.values()) - min(loads.values()) < (0.05 if cell > 100 else 0.25) * max(loads.values())
 
 
 def test_longest_first():
