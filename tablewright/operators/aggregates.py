@@ -290,9 +290,27 @@ def fingerprint_columns(prefix: str, value: Column) -> list[Column]:
     ]
 
 
+def hashable(value: Column, dtype: T.DataType) -> Column:
+    """Maps as sorted arrays of their entries, wherever they are; other values as they are."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(
+            hashable(e["key"], dtype.keyType).alias("key"), hashable(e["value"], dtype.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: hashable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[hashable(value[f.name], f.dataType).alias(f.name) for f in dtype]))
+    return value
+
+
+def _holds_map(dtype: T.DataType) -> bool:
+    return "map<" in dtype.simpleString()
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """SHA-256 over the schema, the row count and an order-free digest of all rows."""
-    digest = df.agg(*fingerprint_columns("rows", F.struct(*[field(c) for c in df.columns])))
+    digest = df.agg(*fingerprint_columns("rows", F.struct(*[
+        hashable(field(f.name), f.dataType).alias(f.name) if _holds_map(f.dataType) else field(f.name) for f in df.schema])))
     described = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("rows_xor", "rows_sum", "rows_n")]
     return digest.select(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -33,19 +36,42 @@ def build_session(app_name: str = "tablewright", master: str | None = None,
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (a single
-    machine, as in tests) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Only on a local master, as in tests, a
+    temporary folder takes its place where that is unset: executors elsewhere would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tablewright-"))
     return named or context.getCheckpointDir()
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the scratch root."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the scratch root; what it holds goes when the application ends."""
+    path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    if application not in _SCRATCH:
+        _SCRATCH[application] = []
+        atexit.register(_clear_scratch, spark, application)
+    _SCRATCH[application].append(path)
+    return path
+
+
+def _clear_scratch(spark: SparkSession, application: str) -> None:
+    """Delete the scratch tables of an application that still runs; one that has been stopped cannot reach them."""
+    if spark.sparkContext._jsc is None or spark.sparkContext.applicationId != application:
+        return
+    try:
+        for path in _SCRATCH.pop(application, []):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except (Py4JError, OSError):
+        pass  # the JVM has gone first
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -73,6 +73,24 @@ def test_manifest_of_a_single_file_and_of_partitions(spark, tmp_path):
         manifest.manifest_create(spark, str(tmp_path / "none.parquet"), "parquet", df=spark.range(0))
 
 
+def test_fingerprint_of_map_columns(spark):
+    from tablewright.operators.aggregates import table_fingerprint
+    a = spark.sql("SELECT map('x', 1, 'y', 2) AS m, array(map(1, 'a')) AS n UNION ALL SELECT NULL, NULL")
+    b = spark.sql("SELECT NULL AS m, NULL AS n UNION ALL SELECT map('y', 2, 'x', 1), array(map(1, 'a'))").select(
+        *[F.col(f.name).cast(f.dataType) for f in a.schema])
+    assert table_fingerprint(a).first() == table_fingerprint(b).first()
+    assert table_fingerprint(a).first() != table_fingerprint(a.limit(1)).first()
+
+
+def test_scratch_needs_a_shared_folder_off_a_local_master(spark, monkeypatch):
+    from tablewright import session
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(spark)
+
+
 def test_sql_leaves_views_of_the_caller(spark):
     spark.range(3).createOrReplaceTempView("data")
     assert sql.sql_query(spark.range(5), "SELECT count(*) AS n FROM data").first()[0] == 5
