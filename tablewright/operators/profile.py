@@ -286,6 +286,12 @@ def profile_rows(df: DataFrame, order_by: Sequence[str] | None = None) -> list[t
                              {n: first[n]["n"] for n in flat})
         distinct = {n: (ranked[n].distinct if n in ranked else 0)
                     + int(first[n]["nulls"] > 0) + int(first[n].get("nan", 0) > 0) for n in plain}
+        # Ranks are taken on doubles; values with more digits than those hold are counted as they are.
+        types = {f.name: f.dataType for f in df.schema}
+        exact = [n for n in flat if isinstance(types[n], T.DecimalType)
+                 or isinstance(types[n], T.LongType) and max(abs(first[n]["min"]), abs(first[n]["max"])) >= 2 ** 53]
+        for names in A.batches(exact, 50):
+            distinct |= {r["column"]: r["distinct_count"] for r in A.distinct_counts(df, names).collect()}
     else:
         for names in A.batches(plain, 50):
             distinct |= {r["column"]: r["distinct_count"] for r in A.distinct_counts(df, names).collect()}

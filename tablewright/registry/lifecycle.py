@@ -242,6 +242,17 @@ def file_hash(spark, sf):
     return manifest.file_hash(spark, sf, glob="*.parquet")
 
 
+@query("file_hash_text", """
+SELECT CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS sha256 FROM (
+    SELECT string_agg(concat(CAST(o_orderkey AS VARCHAR), '|', o_orderpriority, chr(10)), '' ORDER BY o_orderkey) AS t FROM orders)""")
+def file_hash_text(spark, sf):
+    """The hash of a file whose bytes are known: lines of orders, sorted, in one file."""
+    path = scratch_path(spark, "lines")
+    (table(spark, sf, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+     .coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path))
+    return manifest.file_hash(spark, path).select("size", "sha256")
+
+
 def _written(spark, sf):
     df = table(spark, sf, "orders").repartition(4, "o_orderkey")
     return files.sink_parquet(df, scratch_path(spark, "receipt") + ".parquet")

@@ -427,6 +427,28 @@ def sample_reservoir(spark, sf):
     return O.sample_reservoir(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 200)
 
 
+@query("sample_head_random_counts", """
+SELECT CAST(200 AS BIGINT) AS n_rows, CAST(200 AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS n_outside FROM orders HAVING count(*) >= 400""")
+def sample_head_random_counts(spark, sf):
+    """Size, distinct keys, and rows that are not from the head the sample is drawn from."""
+    head = O.sort_rows(table(spark, sf, "orders"), ["o_orderkey"]).limit(400).agg(F.max("o_orderkey").alias("last"))
+    return sample_head_random(spark, sf).crossJoin(F.broadcast(head)).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"),
+        F.count_if(F.col("o_orderkey") > F.col("last")).alias("n_outside"))
+
+
+@query("sample_reservoir_counts", """
+SELECT CAST(200 AS BIGINT) AS n_rows, CAST(200 AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS n_outside FROM lineitem HAVING count(*) >= 200""")
+def sample_reservoir_counts(spark, sf):
+    """Size, distinct rows, and sampled rows that the table does not have."""
+    li = table(spark, sf, "lineitem")
+    drawn = sample_reservoir(spark, sf).withColumn("drawn", F.lit(1))
+    return drawn.join(li.select("l_orderkey", "l_linenumber").distinct().withColumn("there", F.lit(1)),
+                      ["l_orderkey", "l_linenumber"], "left").agg(
+        F.count("*").alias("n_rows"), F.count_distinct(F.struct(*li.columns)).alias("n_keys"),
+        F.count_if(F.col("there").isNull()).alias("n_outside"))
+
+
 SORTED_SQL = """
 WITH p AS (SELECT event_id, ts, value, lag(ts) OVER w AS p_ts, lag(value) OVER w AS p_value, lag(user_id) OVER w AS p_user,
                   lag(-event_id) OVER w AS p_neg, user_id FROM events WINDOW w AS (ORDER BY event_id))

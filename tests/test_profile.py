@@ -129,3 +129,10 @@ def test_fingerprint_and_duplicates(spark):
     assert f(df) == f(df.orderBy("b")) != f(df.distinct())
     pairs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (2, None), (4, "x")], "a int, b string")
     assert f(df) != f(pairs)
+
+
+def test_distinct_longs_beyond_the_digits_of_a_double(spark):
+    from tablewright.operators.profile import profile_table
+    df = spark.range(1000).selectExpr("(1L << 60) + id AS big", "CAST(id AS DECIMAL(30,0)) + 1000000000000000000000 AS wide")
+    got = {r["name"]: r["distinct_count"] for r in profile_table(df).collect()}
+    assert got == {"big": 1000, "wide": 1000}
