@@ -51,7 +51,7 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     current = common.stored(groups, "groups")
     while True:
         count = current.count()
-        cells = max(1, -(-count // CELL))
+        cells = max(1, -(-count // max(CELL, 4 * shards)))  # each level has a quarter of the groups at most
         cell = F.pmod(F.xxhash64("name"), F.lit(cells)).cast("int")
         placed = common.stored(current.withColumn("cell", cell).groupBy("cell").applyInPandas(
             _schedule(shards), "name string, cell int, bin int"), "bins")
