@@ -5,9 +5,11 @@ bytes has an anchor: the smallest hash among its pieces of ``PIECE`` bytes, left
 anchors at the same place, so all suffixes that share ``length`` bytes meet if suffixes are dealt out by the hash of their
 anchor.  Windows next to each other mostly share an anchor; they travel as one segment of fewer than twice ``length`` bytes.
 
-1. Documents are packed into compressed blocks of about a megabyte and stored.
-2. Each block sends the distinct hashes of its anchors to buckets; a bucket answers each block with one bit per hash:
-   whether another document has it too.  Everything else is unique and stays where it is.
+1. Documents are packed into compressed blocks of about a megabyte and stored, with a digest of each text.  Whole texts
+   that occur again are found by digest: the later document is one span from its begin to its end.
+2. Each block sends the distinct hashes of its anchors to buckets, with 64 bits of the digest of the text; a bucket
+   answers each block with one bit per hash: whether another text has it too.  All else is unique, or a copy of a whole
+   document, and stays where it is.
 3. Blocks send the segments of the anchors that are left, each different segment once, with its places and its smallest
    document.  A bucket sorts the suffixes of all segments (the suffix array), takes the common prefixes of neighbours, and
    scans them with a stack for the intervals of the common-prefix tree.  An interval whose suffixes are preceded by
@@ -46,12 +48,15 @@ NO_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_TEXT = pa.struct([("id", pa.int64()), ("digest", pa.binary()), ("begin", pa.int64()), ("size", pa.int64())])
+
+
 # ---------------------------------------------------------------- blocks
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays of any type behind each other, compressed."""
     raw = b"".join(struct.pack("<cq", a.dtype.char.encode(), len(a)) + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -79,9 +84,15 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = np.flatnonzero(pc.is_null(table.column(0)).to_numpy())
         number += 1
         held, size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(
-            [_pack([ids.astype(np.int64), null.astype(np.int64), np.asarray(offsets, np.int64), data])], pa.binary())],
-            ["block", "content"])
+        offsets = np.asarray(offsets, np.int64)
+        digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        words = np.frombuffer(b"".join(digests), np.uint64)[::2]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()),
+             pa.array([_pack([ids.astype(np.int64), null.astype(np.int64), offsets, words, data])], pa.binary()),
+             pa.array([[{"id": i, "digest": d, "begin": b, "size": n} for i, d, b, n in zip(
+                 ids.tolist(), digests, offsets.tolist(), np.diff(offsets).tolist())]], pa.list_(_TEXT))],
+            ["block", "content", "texts"])
 
     for piece in common.pieces(batches, 1, BLOCK_BYTES):
         held.append(piece)
@@ -150,52 +161,65 @@ def _anchors(data: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
+def _distinct(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, the digest of a text that each is in, and whether another text has it; in the order of that
+    text and the hash, so that digests are in runs."""
+    order = np.lexsort((words, hashes))
+    hashes, words = hashes[order], words[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][:len(hashes)])
+    last = np.r_[first[1:], len(hashes)][:len(first)] - 1
+    order = np.lexsort((hashes[first], words[first]))
+    return hashes[first][order], words[first][order], (words[first] != words[last])[order]
+
+
 def _hash_lists(buckets: int, length: int):
-    """Per block and bucket: the distinct anchor hashes, and which of them two documents of the block share."""
+    """Per block and bucket: the distinct anchor hashes with the texts they are in."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, _, offsets, data = _unpack(content.as_buffer())
+                _, _, offsets, words, data = _unpack(content.as_buffer())
                 start, _, hashes = segments(data, offsets, length)
-                text = np.searchsorted(offsets, start, "right")
-                order = np.lexsort((text, hashes))
-                hashes, text = hashes[order], text[order]
-                first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][:len(hashes)])
-                last = np.r_[first[1:], len(hashes)][:len(first)] - 1
-                distinct, shared = hashes[first], text[first] != text[last]
+                distinct, word, shared = _distinct(hashes, words[np.searchsorted(offsets, start, "right") - 1])
                 bucket = (distinct % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                blobs = [_narrow(distinct[order[cuts[b]:cuts[b + 1]]], shared[order[cuts[b]:cuts[b + 1]]], buckets) for b in full]
+                own = [order[cuts[b]:cuts[b + 1]] for b in full]
+                blobs = [_narrow(distinct[o], word[o], shared[o]) for o in own]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())],
                     ["bucket", "block", "hashes"])
     return each
 
 
-def _narrow(hashes: np.ndarray, shared: np.ndarray, buckets: int) -> bytes:
-    """40-bit hashes in five bytes each, in columns, then one bit each."""
+def _narrow(hashes: np.ndarray, words: np.ndarray, shared: np.ndarray) -> bytes:
+    """40-bit hashes in five bytes each, in columns; one bit each; then the runs of digests."""
     wide = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return struct.pack("<i", len(hashes)) + np.ascontiguousarray(wide.T).tobytes() + np.packbits(shared).tobytes()
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    return (struct.pack("<ii", len(hashes), len(first)) + np.ascontiguousarray(wide.T).tobytes() + np.packbits(shared).tobytes()
+            + words[first].tobytes() + np.diff(np.r_[first, len(words)]).astype("<u4").tobytes())
 
 
-def _wide(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack_from("<i", blob)[0]
+def _wide(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, runs = struct.unpack_from("<ii", blob)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(5, n).T
-    return out.view("<u8").ravel(), np.unpackbits(np.frombuffer(blob, np.uint8, -1, 4 + 5 * n))[:n].astype(bool)
+    out[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 8).reshape(5, n).T
+    at = 8 + 5 * n
+    shared = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at))[:n].astype(bool)
+    at += -(-n // 8)
+    words = np.frombuffer(blob, "<u8", runs, at)
+    return out.view("<u8").ravel(), np.repeat(words, np.frombuffer(blob, "<u4", runs, at + 8 * runs)), shared
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """One bit per hash of every block: more than one document has it."""
+    """One bit per hash of every block: more than one text has it."""
     lists = [_wide(b) for b in table.column("hashes").to_pylist()]
-    sizes = [len(h) for h, _ in lists]
-    every, shared = np.concatenate([h for h, _ in lists]), np.concatenate([s for _, s in lists])
+    sizes = [len(x[0]) for x in lists]
+    every, words, shared = (np.concatenate([x[i] for x in lists]) for i in range(3))
     order = np.argsort(every, kind="stable")
-    ranked = every[order]
+    ranked, words = every[order], words[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    often = (np.diff(np.r_[first, len(ranked)]) > 1) | np.logical_or.reduceat(shared[order], first)
+    often = (np.minimum.reduceat(words, first) != np.maximum.reduceat(words, first)) | np.logical_or.reduceat(shared[order], first)
     hit = np.empty(len(every), bool)
     hit[order] = np.repeat(often, np.diff(np.r_[first, len(ranked)]))
     cuts = np.cumsum([0, *sizes])
@@ -210,15 +234,15 @@ def _send(buckets: int, length: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, content, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                ids, _, offsets, data = _unpack(content.as_buffer())
+                ids, _, offsets, words, data = _unpack(content.as_buffer())
                 start, end, hashes = segments(data, offsets, length)
-                distinct = np.unique(hashes)
+                distinct, _, _ = _distinct(hashes, words[np.searchsorted(offsets, start, "right") - 1])
                 bucket = (distinct % np.uint64(buckets)).astype(np.int64)
                 kept = np.zeros(len(distinct), bool)
                 for answer in answers or []:
                     own = np.flatnonzero(bucket == answer["bucket"])
                     kept[own] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8))[:len(own)]
-                use = kept[np.searchsorted(distinct, hashes)]
+                use = np.isin(hashes, distinct[kept])
                 start, size, hashes = start[use], (end - start)[use], hashes[use]
                 if not len(start):
                     continue
@@ -374,11 +398,11 @@ def _groups(length: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for content, spans in zip(batch.column(0), batch.column(1).to_pylist()):
-            ids, null, offsets, data = _unpack(content.as_buffer())
+        for content, spans, copies in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            ids, null, offsets, _, data = _unpack(content.as_buffer())
             lists = [_unpack(s) for s in spans or []]
-            begin, reach, document = (np.concatenate([x[i] for x in lists]) if lists else np.empty(0, np.int64) for i in range(3))
-            begin, reach = begin.astype(np.int64), reach.astype(np.int64)
+            lists += [np.array([[c["begin"], c["size"], c["least"]] for c in copies or []], np.int64).reshape(-1, 3).T]
+            begin, reach, document = (np.concatenate([x[i] for x in lists]).astype(np.int64) for i in range(3))
             use = document < ids[np.searchsorted(offsets, begin, "right") - 1] if len(begin) else np.empty(0, bool)
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, begin[use], 1)
@@ -400,20 +424,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text",
-                   bucket_blocks: int = 8) -> DataFrame:
+                   bucket_blocks: int = 16) -> DataFrame:
     """``id_column``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (begin and end of each removed run, little-endian
     unsigned 32-bit integers) and ``kept`` (the bytes that stay) for every row.  ``length`` is above ``PIECE``;
     ``bucket_blocks`` is how many blocks' worth of anchors a bucket holds about."""
     rows = df.select(df[id_column].cast("bigint").alias("id"), df[text_column].cast("string").alias("text"))
-    blocks = common.stored(rows.mapInArrow(_to_blocks, "block bigint, content binary"), "blocks")
+    blocks = common.stored(rows.mapInArrow(_to_blocks, "block bigint, content binary, texts array<struct<id: bigint, digest: binary, begin: bigint, size: bigint>>"), "blocks")
     buckets = max(1, -(-blocks.count() // bucket_blocks))
-    lists = blocks.mapInArrow(_hash_lists(buckets, length), "bucket int, block bigint, hashes binary")
+    lists = blocks.select("block", "content").mapInArrow(_hash_lists(buckets, length), "bucket int, block bigint, hashes binary")
     answers = lists.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, bits binary")
     answers = answers.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     sent = blocks.join(answers, F.col("block") == F.col("b")).select("block", "content", "answers").mapInArrow(
         _send(buckets, length), "bucket int, block bigint, segments binary")
     spans = sent.groupBy("bucket").applyInArrow(_groups(length), "block bigint, spans binary")
     spans = spans.groupBy(F.col("block").alias("b")).agg(F.collect_list("spans").alias("spans"))
-    return (blocks.join(spans, F.col("block") == F.col("b"), "left").select("content", "spans")
+    # Copies of whole texts: all but the smallest document of a digest.
+    texts = blocks.select("block", F.explode("texts").alias("t")).where(F.col("t.size") >= length).select("block", "t.*")
+    several = (texts.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+               .where("least < most").select("d", "least"))
+    copies = (texts.join(several, F.col("digest") == F.col("d")).where("id > least").groupBy(F.col("block").alias("c"))
+              .agg(F.collect_list(F.struct("begin", "size", "least")).alias("copies")))
+    found = spans.join(copies, F.col("b") == F.col("c"), "full").select(
+        F.coalesce("b", "c").alias("b"), "spans", "copies")
+    return (blocks.join(found, F.col("block") == F.col("b"), "left").select("content", "spans", "copies")
             .mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
             .withColumnRenamed("id", id_column))
