@@ -82,10 +82,13 @@ def text_or_empty(column: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless they find it by themselves (PYTHONPATH or the working folder)."""
+    """Send this package to the executors, unless they find it by themselves: by PYTHONPATH, or on a local master in the
+    working folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     context = spark.sparkContext
-    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    reachable = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master == "local" or context.master.startswith("local["):
+        reachable.append(os.getcwd())
     if root in map(os.path.abspath, filter(None, reachable)) or getattr(context, "_tablewright_sent", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-code-"), "tablewright-code.zip")
