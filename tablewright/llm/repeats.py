@@ -434,7 +434,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id
     lists = blocks.select("block", "content").mapInArrow(_hash_lists(buckets, length), "bucket int, block bigint, hashes binary")
     answers = lists.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, bits binary")
     answers = answers.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    sent = blocks.join(answers, F.col("block") == F.col("b")).select("block", "content", "answers").mapInArrow(
+    # Both joins with the blocks are left joins over the same columns, so that Spark shuffles the blocks once.
+    contents = blocks.select("block", "content")
+    sent = contents.join(answers, F.col("block") == F.col("b"), "left").select("block", "content", "answers").mapInArrow(
         _send(buckets, length), "bucket int, block bigint, segments binary")
     spans = sent.groupBy("bucket").applyInArrow(_groups(length), "block bigint, spans binary")
     spans = spans.groupBy(F.col("block").alias("b")).agg(F.collect_list("spans").alias("spans"))
@@ -446,6 +448,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id
               .agg(F.collect_list(F.struct("begin", "size", "least")).alias("copies")))
     found = spans.join(copies, F.col("b") == F.col("c"), "full").select(
         F.coalesce("b", "c").alias("b"), "spans", "copies")
-    return (blocks.join(found, F.col("block") == F.col("b"), "left").select("content", "spans", "copies")
+    return (contents.join(found, F.col("block") == F.col("b"), "left").select("content", "spans", "copies")
             .mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
             .withColumnRenamed("id", id_column))
