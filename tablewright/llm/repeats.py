@@ -329,6 +329,15 @@ def maximal_groups(text: np.ndarray, size: np.ndarray, length: int) -> Iterator[
                 stack.append([now, first, context])
 
 
+def _telling(member: np.ndarray, offset: np.ndarray, reach: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without the groups that say nothing new about a suffix: a shorter one counts if its document is smaller."""
+    order = np.lexsort((document, -reach, offset, member))
+    member, offset, reach, document = member[order], offset[order], reach[order], document[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (member[1:] != member[:-1]) | (offset[1:] != offset[:-1]) | (document[1:] < document[:-1])
+    return member[new], offset[new], reach[new], document[new]
+
+
 def _groups(length: int):
     def settle(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
@@ -366,9 +375,12 @@ def _groups(length: int):
                 own = np.concatenate(step)
                 text = _rows(data, starts[sample[own]], size[sample[own]], 2 * length - PIECE)
                 text = text.astype(">u8").view(np.uint8).reshape(len(own), -1)
+                groups = []
                 for which, offset, reach in maximal_groups(text, size[sample[own]], length):
                     member = own[which]
-                    found.append((member, offset, np.full(len(member), reach), np.full(len(member), smallest[member].min())))
+                    groups.append((member, offset, np.full(len(member), reach), np.full(len(member), smallest[member].min())))
+                if groups:
+                    found.append(_telling(*map(np.concatenate, zip(*groups))))
                 step, total = [], 0
         member, offset, reach, document = map(np.concatenate, zip(*found))
         # Back from kinds to the segments of the blocks, unless none of a segment's documents can lose bytes by it.
