@@ -1,8 +1,8 @@
 """Connected components of a link table by alternating star contraction.
 
 Each round joins every node's larger neighbours, then its smaller ones, to the smallest node it knows.  Both steps are
-aggregations and equi-joins over links; nothing is collected, and Spark splits the partitions of a hot node by itself.
-The number of rounds grows with the logarithm of the longest path.
+aggregations and equi-joins over links; nothing is collected.  Minima are combined on the map side, and the joins are salted,
+so the links of one hub are spread over several tasks.  The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -13,23 +13,32 @@ from pyspark.sql import functions as F
 from tablewright.llm import common
 
 MOST_ROUNDS = 60
+SALTS = 8
 
 
 def _smallest(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
 
+def _with_smallest(links: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v, m): each link with the smallest node that u knows."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.select(F.col("u").alias("w"), "m", salts.alias("s")),
+                       (F.col("u") == F.col("w")) & (F.col("salt") == F.col("s"))).select("u", "v", "m")
+
+
 def _larger_star(links: DataFrame) -> DataFrame:
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_smallest(both).withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rising = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    both = rising.union(rising.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _with_smallest(rising, _smallest(both)).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _smaller_star(links: DataFrame) -> DataFrame:
-    ordered = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _smallest(ordered)
-    joined = ordered.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    falling = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = _smallest(falling)
+    return (_with_smallest(falling, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(least.select("u", F.col("m").alias("v"))))
 
 
 def components(links: DataFrame) -> DataFrame:
