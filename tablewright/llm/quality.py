@@ -1,12 +1,12 @@
 """Quality rules: counts within a document, and the frequency of its lines across the documents of its host.
 
 Lines are normalised (lower case, white space collapsed), hashed, and counted once per document and host.  A line that
-occurs in more documents of a host than ``max(min_documents, share * documents of the host)`` is removed there.  A
-document that lines are removed from is rejected if too little of it is left.  Everything is a DataFrame expression;
+occurs in more than ``min_documents`` different texts of a host is removed there, however large the host is.  A document
+that lines are removed from is rejected if too little of it is left.  Everything is a DataFrame expression;
 counts are combined on the map side, so a line in every document costs one record per task.
 
-Edge cases: a null text has no words and no lines and fails.  Each row counts as one document in line frequencies,
-repeated rows too; rows of equal id and text get equal results.  A null host is a host of its own.  Empty tables give
+Edge cases: a null text has no words and no lines and fails.  Whole copies in a host count once in line frequencies; rows
+of equal id and text get equal results.  A null host is a host of its own.  Empty tables give
 empty tables.  Columns other than id, text and host are ignored.
 """
 
@@ -76,16 +76,16 @@ def _prepared(df: DataFrame, id_column: str, text_column: str, host_column: str)
                      F.xxhash64(text).alias("tag"))
 
 
-def frequent_lines(df: DataFrame, share: float = 0.1, min_documents: int = 20, id_column: str = "doc_id",
-                   text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """(host, line, documents): the hashes of lines above the limit of their host."""
+def frequent_lines(df: DataFrame, min_documents: int = 20, id_column: str = "doc_id", text_column: str = "text",
+                   host_column: str = "source") -> DataFrame:
+    """(host, line, documents): the hashes of lines in more than ``min_documents`` different texts of their host."""
     docs = _prepared(df, id_column, text_column, host_column)
-    line = F.explode(F.array_distinct(F.transform(lines_with_words(F.coalesce("text", F.lit(""))), line_hash)))
-    counts = (docs.select("host", line.alias("line")).groupBy("host", "line").agg(F.count("*").alias("documents"))
-              .where(F.col("documents") > min_documents))
-    hosts = docs.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n"))
-    return (counts.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-            .where(F.col("documents") > share * F.col("n")).select("host", "line", "documents"))
+    lines = F.array_distinct(F.transform(lines_with_words(F.coalesce("text", F.lit(""))), line_hash))
+    # The hashes are stored, so copies meet as hashes and not as texts, and lines are cut once.
+    hashed = common.stored(docs.select("host", "tag", lines.alias("lines")), "line_hashes")
+    texts = hashed.groupBy("host", "tag").agg(F.first("lines").alias("lines"))
+    return (texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line")
+            .agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents))
 
 
 def _removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             .groupBy("id", "tag").agg(F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")))
 
 
-def judge(df: DataFrame, share: float = 0.1, min_documents: int = 20, keep_share: float = 0.3, min_chars: int = 60,
+def judge(df: DataFrame, min_documents: int = 20, keep_share: float = 0.3, min_chars: int = 60,
           id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """One row per row of ``df``: the counts, ``base_failed``, ``n_removed_lines``, ``removed_chars`` and ``kept``.
 
@@ -108,7 +108,7 @@ def judge(df: DataFrame, share: float = 0.1, min_documents: int = 20, keep_share
     """
     docs = _prepared(df, id_column, text_column, host_column)
     # Stored, so that its true size decides between a broadcast and a shuffled join.
-    frequent = common.stored(frequent_lines(df, share, min_documents, id_column, text_column, host_column), "lines")
+    frequent = common.stored(frequent_lines(df, min_documents, id_column, text_column, host_column), "lines")
     removed = _removed(docs, frequent).select(F.col("id").alias("rid"), F.col("tag").alias("rtag"), "n_removed_lines",
                                               "removed_chars")
     counts = document_counts(docs)

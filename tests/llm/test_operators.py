@@ -448,6 +448,15 @@ def test_frequent_lines(spark):
     assert "COMMON" not in clean[0] and clean[200] == rows[0][1]
 
 
+def test_frequent_lines_of_a_large_host(spark):
+    """The limit does not grow with the host, and copies count once."""
+    rows = [(i, ("seen in thirty texts\n" if i < 30 else "") + f"own line {i}", "large") for i in range(2000)]
+    rows += [(10000 + i, "a line of copies\nand nothing else", "large") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.n_removed_lines for r in quality.judge(df).collect()}
+    assert got == {d: int(d < 30) for d, _, _ in rows}
+
+
 # ---------------------------------------------------------------- no rows at all
 
 def test_empty_tables(spark, empty):
