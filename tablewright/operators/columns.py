@@ -117,8 +117,12 @@ def promote_temporal_columns(df: DataFrame, share: float = 1.0) -> DataFrame:
     return map_columns(df, dates, lambda c: c.try_cast("timestamp")) if dates else df
 
 
-def type_compatibility(profile: DataFrame, target: str) -> DataFrame:
-    """Can each profiled column become the target kind?  Categories are checked by content."""
+def type_compatibility(profile: DataFrame, target: str, df: DataFrame | None = None) -> DataFrame:
+    """Can each profiled column become the target kind?  Categories are checked by content.
+
+    The profile keeps the most frequent values only; where it left some out, all rows of the profiled table ``df`` are
+    counted.  Without ``df`` such a column has no answer (null), unless a kept value fails already.
+    """
     if target not in casts.KINDS:
         raise ValueError(f"unknown kind {target!r}")
     kind = F.col("kind")
@@ -135,7 +139,17 @@ def type_compatibility(profile: DataFrame, target: str) -> DataFrame:
     content = F.lit(True)
     if target in tests:
         values = F.coalesce(F.map_keys("frequency"), F.array().cast("array<string>"))
-        content = (kind != "Categorical") | F.forall(values, tests[target])
+        kept = F.forall(values, tests[target])
+        cut = [r["name"] for r in profile.where((kind == "Categorical") & F.col("frequency_truncated") & kept)
+               .select("name").collect()]
+        rest = F.lit(None).cast("boolean")
+        if cut and df is not None:
+            value = {c: field(c).cast("string") for c in cut}
+            failing = df.agg(*[F.count_if(value[c].isNotNull() & ~F.coalesce(tests[target](value[c]), F.lit(False))).alias(f"f{i}")
+                               for i, c in enumerate(cut)]).first()
+            rest = F.col("name").isin([c for i, c in enumerate(cut) if not failing[f"f{i}"]])
+        content = F.when(kind != "Categorical", F.lit(True)).when(
+            F.coalesce("frequency_truncated", F.lit(False)) & kept, rest).otherwise(kept)
     return profile.select("name", "kind", F.lit(target).alias("target"),
                           (by_kind & content).alias("compatible"))
 

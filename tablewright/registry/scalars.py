@@ -113,8 +113,9 @@ UNION ALL SELECT c, 'Temporal', ok FROM (
   UNION ALL
   SELECT 'props', bool_and(TRY_CAST(props AS DOUBLE) IS NOT NULL OR regexp_matches(props, '[-/:]')) FROM events)""")
 def type_compatibility(spark, sf):
-    profile = profile_table(table(spark, sf, "events"))
-    both = C.type_compatibility(profile, "Boolean").unionByName(C.type_compatibility(profile, "Temporal"))
+    events = table(spark, sf, "events")
+    profile = profile_table(events)
+    both = C.type_compatibility(profile, "Boolean", events).unionByName(C.type_compatibility(profile, "Temporal", events))
     return both.select("name", "target", "compatible")
 
 
