@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,17 +37,48 @@ ISLANDS, EPOCHS = 3, 2
 POPULATION, OFFSPRING = 6, 24
 REOPENED = 16        # one piece of so many goes on to the next level, about
 LEVELS = 12
-CACHED_WORDS = 300_000
+CACHED_SPANS = 800_000
+LONG_SPAN = 64  # longer ones are not kept
 
 # What the tokenizer's pattern finds in lower-cased text of code points below 256.
 SIMPLE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]"
                     "|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python only
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python only
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level models spell bytes: printable ones of the first 256 stand for themselves, the others
+    for the next code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class SpanIds(dict):
+    """Ids of the spans between white space in a text, kept as they come up.  No match of the pattern crosses white space."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model = tokenizer.model
+        self.letters = _byte_letters()
+
+    def __missing__(self, span: str) -> bytes:
+        words = SIMPLE.findall(span)
+        ids = self._spell(span) if len(words) == 1 else b"".join(map(self.__getitem__, words))
+        if len(span) <= LONG_SPAN:  # spans of any length come only once
+            self[span] = ids
+        return ids
+
+    def _spell(self, word: str) -> bytes:
+        """The ids of one match of the pattern."""
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordCache:
-    """Ids of whole texts by a tokenizer that drops white space; ids of a word are kept.  Texts with other characters
-    than the first 256 go through the tokenizer as they are."""
+    """Ids of whole texts by a tokenizer that drops white space.  Texts with other characters than the first 256 go
+    through the tokenizer as they are."""
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,31 +86,24 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.known = SpanIds(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        words: list[list[str] | None] = []
+        if len(self.known) > CACHED_SPANS:
+            self.known.clear()
+        find, out = self.known.__getitem__, []
         for text in texts:
             try:
                 text.encode("latin-1")
-                simple = not SEPARATORS.search(text)
+                simple = not any(c in text for c in SEPARATORS)
             except UnicodeEncodeError:
                 simple = False
-            words.append(SIMPLE.findall(text.lower()) if simple else None)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({word for own in words if own for word in own}.difference(self.known))
-        self.known.update(zip(new, self._raw(new)))
-        rest = iter(self._raw([text for text, own in zip(texts, words) if own is None]))
-        find = self.known.__getitem__
-        out = [next(rest) if own is None else b"".join(map(find, own)) for own in words]
-        for word in new:
-            if len(word) > 64:
-                del self.known[word]
+            if simple:
+                out.append(b"".join(map(find, text.lower().split())))
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
         return out
 
 
