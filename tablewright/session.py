@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +80,24 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that row positions stay put."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by themselves: by PYTHONPATH, or on a local master in the
+    working folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    reachable = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.master == "local" or context.master.startswith("local["):
+        reachable.append(os.getcwd())
+    if root in map(os.path.abspath, filter(None, reachable)) or getattr(context, "_tablewright_sent", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-code-"), "tablewright-code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "tablewright")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._tablewright_sent = True
