@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.session import scratch_path
+from tablewright.session import scratch_path, ship  # noqa: F401
 
 # White space that separates words: space and the codes 9 to 13, as in ``bytes.split``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,24 +76,3 @@ def tokenizer_path(name: str) -> str:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless they find it by themselves: by PYTHONPATH, or on a local master in the
-    working folder."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    context = spark.sparkContext
-    reachable = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if context.master == "local" or context.master.startswith("local["):
-        reachable.append(os.getcwd())
-    if root in map(os.path.abspath, filter(None, reachable)) or getattr(context, "_tablewright_sent", False):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="tablewright-code-"), "tablewright-code.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(os.path.join(root, "tablewright")):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, root))
-    context.addPyFile(archive)
-    context._tablewright_sent = True

@@ -45,6 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (u long, v long): the smallest node that can be reached.  Nodes without links to
     others are left out."""
     current = common.stored(links.select("u", "v").where("u <> v").distinct(), "links")
+    if current.isEmpty():
+        return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(MOST_ROUNDS):
         current = common.stored(_smaller_star(_larger_star(current)).where("u <> v").distinct(), "links")

@@ -1,17 +1,21 @@
 """Embedding near-duplicates by sorted projection passes.
 
-In each pass every vector gets 64 random signs (on which side of random planes it lies), and the vectors of a label are
+In each pass every vector gets random signs (on which side of random planes it lies), and the vectors of a label are
 sorted by them.  Close vectors agree in most signs, so they end up near each other in at least one pass.  The sorted
-order is cut into blocks; each block is compared with itself and with the next one, by cosine in double precision.  Where
-more than a block of vectors agree in the leading signs, all blocks of that run are compared with each other, so dense
-groups are not cut off at the window.  A pair that several passes compare counts in the first of them; every task knows
-its vectors' blocks in all passes and can tell.  So tasks give counts and a spanning tree per tile, never pairs.
+order is cut into blocks; each block is compared with itself and with the next one, by cosine in double precision.  Vectors
+that agree in all leading signs that are looked at (a run) are compared in full, in blocks dealt by a hash of the id if they
+fill several, so dense groups are not cut off at the window and no task gathers them.  A pair that several passes compare
+counts in the first of them; every task knows its vectors' blocks in all passes and can tell.  So tasks give counts and a
+spanning tree per tile, never pairs.
 
-The number of passes follows the size of the largest label, so that a pair at the threshold is found with a probability
-of ``recall``.  Equal vectors are one vector with a number of copies.  Every link that is reported is verified.
+A pass finds a pair for certain if it agrees in so many leading signs that what else agrees in them fits a block, or if it
+shares its run.  How many signs that takes is measured: vectors of a label that lie in a cone are told apart by few of the
+planes.  The number of passes follows from it, so that a pair at the threshold is found with a probability of ``recall``.  Equal
+vectors (by a 128-bit digest) are one vector with a number of copies.  Every link that is reported is verified.
 
 Edge cases: vectors that are null, empty, all zero, or hold a null or non-finite component, and rows without label, link
-with nothing and are their own component.  Vectors of different dimension do not link.  Repeated rows are vectors of
+with nothing and are their own component.  Vectors of different dimension do not link.  Zeros of either sign are equal, and
+components of any finite size are compared without overflow.  Repeated rows are vectors of
 their own.  Rows without id have no component.  Empty tables give empty tables; other columns are ignored.
 """
 
@@ -31,7 +35,8 @@ from tablewright.llm.components import components
 
 BITS = 64
 BLOCK = 1024
-CELL_BITS = 16
+RUN_BITS = 16  # signs that are looked at, at least
+PILOT = 4      # passes that are measured
 
 
 @lru_cache(maxsize=8)
@@ -39,12 +44,11 @@ def _planes(seed: int, dimension: int, passes: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((dimension, BITS * passes))
 
 
-def passes_for(largest: int, threshold: float, recall: float) -> int:
-    """Passes until a pair at the threshold is found with probability ``recall``: it has to agree in the signs that
-    narrow ``largest`` sorted vectors down to one block."""
+def passes_for(signs: int, threshold: float, recall: float) -> int:
+    """Passes until a pair at the threshold agrees in the ``signs`` leading signs of one with probability ``recall``."""
     agree = 1 - math.acos(min(1.0, threshold)) / math.pi
-    once = agree ** max(1.0, math.log2(max(largest, 1) / BLOCK) + 1)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)))
+    once = agree ** max(1, signs)
+    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - once)) if once < 1 else 1)
 
 
 def _signatures(seed: int, passes: int):
@@ -57,7 +61,9 @@ def _signatures(seed: int, passes: int):
                 signs = np.zeros((len(vectors), passes), np.uint64)
                 for dimension in np.unique(sizes):
                     own = np.flatnonzero(sizes == dimension)
-                    side = np.array([vectors[i] for i in own], np.float64) @ _planes(seed, int(dimension), passes) > 0
+                    chosen = np.array([vectors[i] for i in own], np.float64)
+                    chosen /= np.abs(chosen).max(1)[:, None]
+                    side = chosen @ _planes(seed, int(dimension), passes) > 0
                     signs[own] = np.packbits(side, axis=1).view(">u8").astype(np.uint64)
                 signed = (signs ^ np.uint64(1 << 63)).view(np.int64)  # the order of the bits as signed integers
                 n = len(vectors)
@@ -75,6 +81,7 @@ def _compare(threshold: float):
         next_door = table.column("y")[0].as_py() == table.column("x")[0].as_py() + 1
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         vectors = np.array(table.column("vector").to_pylist(), np.float64)
+        vectors /= np.abs(vectors).max(1)[:, None]
         vectors /= np.sqrt((vectors * vectors).sum(1))[:, None]
         places = np.array(table.column("blocks").to_pylist(), np.int64)
         runs = np.array(table.column("runs").to_pylist(), np.int64)
@@ -113,44 +120,66 @@ def _compare(threshold: float):
     return each
 
 
+def _signs(distinct: DataFrame, seed: int, passes: int, run_bits: int) -> DataFrame:
+    """(id, part, pass, run): the leading signs of each vector in each pass, as one number."""
+    return distinct.select("id", "part", "vector").mapInArrow(
+        _signatures(seed, passes), "id bigint, part string, pass int, sign bigint").select(
+        "id", "part", "pass", F.shiftright("sign", BITS - run_bits).alias("run"))
+
+
+def signs_to_a_block(distinct: DataFrame, seed: int, run_bits: int) -> int:
+    """How many leading signs it takes until no more than a block of vectors agree in them, in any part; all that are
+    looked at, if dense groups never fit a block."""
+    runs = _signs(distinct, seed, PILOT, run_bits).groupBy("part", "pass", "run").agg(F.count("*").alias("n"))
+    cells = common.stored(runs, "pilot").select("part", "pass", "n", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.lit(run_bits)), lambda k: F.floor(
+            F.col("run") / F.pow(F.lit(2.0), F.lit(run_bits) - k)).cast("bigint"))).alias("depth", "cell"))
+    largest = cells.groupBy("part", "pass", "depth", "cell").agg(F.sum("n").alias("n")).groupBy("depth").agg(F.max("n").alias("n"))
+    fits = [row.depth + 1 for row in largest.where(F.col("n") <= BLOCK).collect()]
+    return min(fits, default=run_bits)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, recall: float = 0.999, seed: int = 7, id_column: str = "vec_id",
                     vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
     """``id_column``, ``n_links``, ``component_id`` and ``kept`` for every row; ids are integers."""
     rows = df.select(df[id_column].cast("bigint").alias("id"), df[label_column].cast("string").alias("label"),
-                     df[vector_column].cast("array<double>").alias("vector"))
+                     df[vector_column].alias("vector"))
+    if rows.schema["vector"].dataType.elementType.simpleString() != "float":
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     fine = (F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
             & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    rows = rows.select("id", F.when(fine, F.concat_ws(":", F.size("vector"), "label")).alias("part"), "vector")
-    distinct = common.stored(rows.where("part is not null").groupBy("part", "vector").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
+    rows = rows.select("id", F.when(fine, F.concat_ws(":", F.size("vector"), "label")).alias("part"), "vector",
+                       F.xxhash64("vector").alias("d"), F.xxhash64(F.lit("second"), "vector").alias("e"))
+    distinct = common.stored(rows.where("part is not null").groupBy("part", "d", "e").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "vectors")
     largest = distinct.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest, threshold, recall)
+    run_bits = min(BITS, max(RUN_BITS, math.ceil(math.log2(max(largest, 1) / BLOCK + 1)) + 4))
+    passes = passes_for(signs_to_a_block(distinct, seed, run_bits), threshold, recall)
 
-    # The place of each vector in each pass: cells of equal leading signs are counted, and numbered inside.
-    signs = common.stored(distinct.select("id", "part", "vector").mapInArrow(
-        _signatures(seed, passes), "id bigint, part string, pass int, sign bigint"), "signs")
-    cell = F.shiftright("sign", BITS - CELL_BITS)
-    cells = signs.groupBy("part", "pass", cell.alias("cell")).agg(F.count("*").alias("n"))
+    # The place of each vector in each pass: runs are counted, and numbered by the vectors before them.
+    signs = common.stored(_signs(distinct, seed, passes, run_bits), "signs")
+    cell = F.shiftright("run", run_bits - RUN_BITS)
+    runs = common.stored(signs.groupBy("part", "pass", "run").agg(F.count("*").alias("n")).withColumn("cell", cell), "runs")
     before = Window.partitionBy("part", "pass").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("part", "pass", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("part", "pass", "cell").orderBy("sign", "id")
-    run_bits = min(BITS, max(CELL_BITS, math.ceil(math.log2(max(largest, 1) / BLOCK + 1)) + 4))
-    placed = (signs.withColumn("cell", cell).withColumn("number", F.row_number().over(inside))
-              .join(offsets, ["part", "pass", "cell"])
-              .select("id", "part", "pass", F.floor((F.col("offset") + F.col("number") - 1) / BLOCK).alias("block"),
-                      F.shiftright("sign", BITS - run_bits).alias("run")))
-    placed = common.stored(placed, "places")
-    long = placed.groupBy("part", "pass", "run").agg(F.min("block").alias("first"), F.max("block").alias("last"))
-    long = common.stored(long.where("last > first + 1"), "runs")
-    spans = placed.join(long, ["part", "pass", "run"], "left")
+    offsets = runs.groupBy("part", "pass", "cell").agg(F.sum("n").alias("m")).select(
+        "part", "pass", "cell", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part", "pass", "cell").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.floor((F.col("offset") + F.col("inside")) / BLOCK)
+    numbered = (runs.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+                .join(offsets, ["part", "pass", "cell"])
+                .select("part", "pass", "run", first.alias("first"), F.ceil(F.col("n") / BLOCK).alias("parts")))
+    numbered = common.stored(numbered, "numbered")
+    spans = signs.join(numbered, ["part", "pass", "run"]).select(
+        "id", "pass", "run", (F.col("first") + F.pmod(F.xxhash64(F.lit("block"), "id"), "parts")).alias("block"), "first",
+        (F.col("first") + F.col("parts") - 1).alias("last"))
     turns = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pass", "block", "run", "first", "last"))).alias("turns"))
 
     full = distinct.join(turns, "id").select(
         "id", "part", "vector", "copies", F.col("turns.block").alias("blocks"), F.col("turns.run").alias("runs"),
         F.explode("turns").alias("turn"))
     block = F.col("turn.block")
-    later = F.sequence(block + 1, F.greatest(block + 1, F.coalesce("turn.last", block)))
-    prior = F.sequence(F.least(block - 1, F.coalesce("turn.first", block)), block - 1)
+    later = F.sequence(block + 1, F.greatest(block + 1, F.col("turn.last")))
+    prior = F.sequence(F.least(block - 1, F.col("turn.first")), block - 1)
     tile = F.explode(F.concat(
         F.transform(later, lambda y: F.struct(block.alias("x"), y.alias("y"), F.lit(False).alias("right"))),
         F.transform(prior, lambda x: F.struct(x.alias("x"), block.alias("y"), F.lit(True).alias("right")))))
@@ -162,10 +191,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, recall: float = 0.99
     counts = told.groupBy(F.col("id").alias("c")).agg(F.sum("links").alias("links"))
     reached = components(told.select(F.col("id").alias("u"), F.col("root").alias("v")))
     known = (distinct.join(counts, F.col("id") == F.col("c"), "left").join(reached, F.col("id") == F.col("node"), "left")
-             .select(F.col("part").alias("p"), F.col("vector").alias("v"),
+             .select(F.col("part").alias("p"), F.col("d").alias("kd"), F.col("e").alias("ke"),
                      (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                      F.coalesce("component", "id").alias("found")))
-    out = rows.join(known, (F.col("part") == F.col("p")) & (F.col("vector") == F.col("v")), "left")
+    out = rows.join(known, (F.col("part") == F.col("p")) & (F.col("d") == F.col("kd")) & (F.col("e") == F.col("ke")), "left")
     component = F.coalesce("found", "id")
     return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       component.alias("component_id"), (F.col("id") == component).alias("kept"))

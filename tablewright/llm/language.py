@@ -1,15 +1,15 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased, everything but letters and marks becomes one blank, and the bigrams and trigrams of what is left
-are hashed into a fixed number of buckets.  Training counts buckets per language in the tasks and adds the counts up by
+Texts are lower-cased, everything but letters and marks becomes one blank (the last word has one too), and the bigrams and
+trigrams of what is left are hashed into a fixed number of buckets.  Training counts buckets per language in the tasks and adds the counts up by
 slices; the model is a matrix of log-probabilities, as large as languages times buckets, and goes to the tasks as a
 broadcast.  A text's score is the sparse product of its n-gram counts with that matrix, computed batch by batch.
 
 ``train`` takes at most about ``per_language`` texts of each language (a share of them chosen by a hash of the id);
 that bound is a parameter.  Scoring covers every row and the whole text.
 
-Edge cases: a null text, or one without letters, is ``und`` with score 0; so is everything if nothing was learned.
-Rows without language teach nothing.  Languages that score the same resolve to the alphabetically first.  A null id
+Edge cases: a null text, or one without letters (Unicode category L), is ``und`` with score 0; so is everything if nothing
+was learned, as from an empty table.  An empty table to predict gives an empty one.  Rows without language teach nothing.  Languages that score the same resolve to the alphabetically first.  A null id
 stays null and repeated rows give equal rows; further columns are ignored.
 """
 
@@ -40,17 +40,28 @@ class Model:
     log_prob: np.ndarray  # (BUCKETS + 1, languages); the last row is zero and stands for "no n-gram"
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+@lru_cache(maxsize=2)
+def _letters(categories: str = "LM") -> np.ndarray:
+    return np.fromiter((unicodedata.category(chr(c))[0] in categories for c in range(0x110000)), bool, 0x110000)
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of all texts in lower case, each with a blank and a zero after it."""
+    codes = np.frombuffer((" \0".join(texts).lower() + " \0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if np.count_nonzero(codes == 0) != len(texts):  # texts with zero characters of their own
+        return _codes([t.replace("\0", " ") for t in texts])
+    return codes
+
+
+def has_letter(codes: np.ndarray) -> np.ndarray:
+    """Which texts hold a letter; marks alone are none."""
+    starts = np.flatnonzero(np.r_[0, codes[:-1]] == 0)
+    return np.logical_or.reduceat(_letters("L")[codes], starts)
+
+
+def ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of bigrams and of trigrams at every kept place (BUCKETS: none), and where each text begins and ends."""
-    codes = np.frombuffer(("\0".join(texts).lower() + "\0").encode("utf-32-le"), np.uint32)
     ends = np.flatnonzero(codes == 0)
-    if len(ends) != len(texts):  # texts with zero characters of their own
-        return ngrams([t.replace("\0", " ") for t in texts])
     letter = _letters()[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each word
@@ -79,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for piece in common.pieces(batches, 1):
         languages = piece.column(0).to_pylist()
-        pair, triple, at = ngrams([t or "" for t in piece.column(1).to_pylist()])
+        pair, triple, at = ngrams(_codes([t or "" for t in piece.column(1).to_pylist()]))
         for i, language in enumerate(languages):
             own = totals.setdefault(language, np.zeros(BUCKETS + 1, np.int64))
             own += np.bincount(pair[at[i]:at[i + 1]], minlength=BUCKETS + 1) if at[i + 1] - at[i] > SLICE else 0
@@ -127,9 +138,9 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
 def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, posterior probability, and how much likelier an n-gram is on average than by chance (in nats)."""
-    pair, triple, at = ngrams(texts)
+    codes = _codes(texts)
+    pair, triple, at = ngrams(codes)
     n = np.add.reduceat((pair < BUCKETS).astype(np.int64) + (triple < BUCKETS), at[:-1])
-    letters = np.add.reduceat((pair < BUCKETS), at[:-1])
     k = len(model.languages)
     if not k:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
@@ -138,7 +149,7 @@ def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray,
     best = likely.argmax(1)
     top = likely.max(1)
     score = 1 / np.exp(likely - top[:, None]).sum(1)
-    none = letters == 0
+    none = ~has_letter(codes)
     score[none] = 0
     fit = np.where(none, 0, top / np.maximum(n, 1) + np.log(BUCKETS))
     return [UNDETERMINED if none[i] else model.languages[b] for i, b in enumerate(best)], score, fit

@@ -6,7 +6,7 @@ that lines are removed from is rejected if too little of it is left.  Everything
 counts are combined on the map side, so a line in every document costs one record per task.
 
 Edge cases: a null text has no words and no lines and fails.  Whole copies in a host count once in line frequencies; rows
-of equal id and text get equal results.  A null host is a host of its own.  Empty tables give
+of equal id, text and host get equal results, and what is removed in one host stays in another.  A null host is a host of its own.  Empty tables give
 empty tables.  Columns other than id, text and host are ignored.
 """
 
@@ -20,6 +20,7 @@ from tablewright.llm import common
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+SALTS = 8
 
 
 def words(text: Column) -> Column:
@@ -88,16 +89,24 @@ def frequent_lines(df: DataFrame, min_documents: int = 20, id_column: str = "doc
             .agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents))
 
 
+def _on_frequent(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows (id, host, line, ..) whose line is frequent in their host.  A line that is frequent fills many rows, so both
+    sides are salted."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    limits = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"), salts.alias("s"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id", "tag"), F.lit(SALTS)).cast("int"))
+    return salted.join(limits, (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s"))
+                       & F.col("host").eqNullSafe(F.col("h")))
+
+
 def _removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(id, tag, n_removed_lines, removed_chars) of the documents with frequent lines."""
+    """(id, tag, host, n_removed_lines, removed_chars) of the documents with frequent lines."""
     lines = F.transform(lines_with_words(F.coalesce("text", F.lit(""))), lambda x: F.struct(
         line_hash(x).alias("line"), F.length(F.translate(x, SPACES, "")).alias("chars")))
     rows = docs.select("id", "tag", "host", F.posexplode(lines).alias("place", "own")).select(
         "id", "tag", "host", "place", "own.line", "own.chars")
-    limits = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    hits = rows.join(limits, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-    return (hits.groupBy("id", "tag", "place").agg(F.max("chars").alias("chars"))
-            .groupBy("id", "tag").agg(F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")))
+    return (_on_frequent(rows, frequent).groupBy("id", "tag", "host", "place").agg(F.max("chars").alias("chars"))
+            .groupBy("id", "tag", "host").agg(F.count("*").alias("n_removed_lines"), F.sum("chars").alias("removed_chars")))
 
 
 def judge(df: DataFrame, min_documents: int = 20, keep_share: float = 0.3, min_chars: int = 60,
@@ -109,10 +118,11 @@ def judge(df: DataFrame, min_documents: int = 20, keep_share: float = 0.3, min_c
     docs = _prepared(df, id_column, text_column, host_column)
     # Stored, so that its true size decides between a broadcast and a shuffled join.
     frequent = common.stored(frequent_lines(df, min_documents, id_column, text_column, host_column), "lines")
-    removed = _removed(docs, frequent).select(F.col("id").alias("rid"), F.col("tag").alias("rtag"), "n_removed_lines",
-                                              "removed_chars")
+    removed = _removed(docs, frequent).select(F.col("id").alias("rid"), F.col("tag").alias("rtag"),
+                                              F.col("host").alias("rhost"), "n_removed_lines", "removed_chars")
     counts = document_counts(docs)
-    out = counts.join(removed, F.col("id").eqNullSafe(F.col("rid")) & F.col("tag").eqNullSafe(F.col("rtag")), "left")
+    out = counts.join(removed, F.col("id").eqNullSafe(F.col("rid")) & F.col("tag").eqNullSafe(F.col("rtag"))
+                      & F.col("host").eqNullSafe(F.col("rhost")), "left")
     gone = F.coalesce("removed_chars", F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("word_chars") - gone
@@ -128,12 +138,12 @@ def without_lines(df: DataFrame, frequent: DataFrame, id_column: str = "doc_id",
     """``df`` with the frequent lines taken out of its texts; other columns and rows stay."""
     docs = _prepared(df, id_column, text_column, host_column)
     hashes = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_hash)))
-    limits = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    own = (docs.select("id", "tag", "host", hashes.alias("line"))
-           .join(limits, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-           .groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("line").alias("__out")))
-    text = F.col(text_column).cast("string")
+    own = (_on_frequent(docs.select("id", "tag", "host", hashes.alias("line")), frequent)
+           .groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("host").alias("__host"))
+           .agg(F.collect_set("line").alias("__out")))
+    text = df[text_column].cast("string")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__out", line_hash(x))), "\n")
-    joined = df.join(own, F.col(id_column).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__tag")), "left")
+    joined = df.join(own, df[id_column].eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__tag"))
+                     & df[host_column].eqNullSafe(F.col("__host")), "left")
     return joined.select(*[F.when(F.col("__out").isNull(), text).otherwise(rest).alias(c) if c == text_column
                            else F.col(c) for c in df.columns])

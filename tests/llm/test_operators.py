@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -351,8 +352,86 @@ def test_embeddings(spark, block, monkeypatch):
     assert lonely and all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in lonely)
 
 
+@pytest.mark.parametrize("lean", [0.0, 0.9])
+def test_recall_in_a_cone(spark, lean, monkeypatch):
+    """Planted pairs at cosine 0.981, also where all vectors of the label lie close together: the recall that is asked for."""
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    axis = unit(rng.standard_normal(64))
+    across = lambda n: unit((x := rng.standard_normal((n, 64))) - np.outer(x @ axis, axis))
+    base = math.sqrt(lean) * axis + math.sqrt(1 - lean) * across(4000)
+    side = rng.standard_normal((400, 64))
+    side = unit(side - (side * base[:400]).sum(1)[:, None] * base[:400])
+    twins = 0.981 * base[:400] + math.sqrt(1 - 0.981 ** 2) * side
+    vectors = np.vstack([base, twins])
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>, label int")
+    near = vectors @ vectors.T >= 0.98
+    want = near.sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.998 * want.sum()
+    assert sum(got[4000 + i] > 0 for i in range(400)) >= 399
+
+
+def test_vectors_of_any_size(spark):
+    """Zeros of either sign, components whose squares overflow, tiny ones."""
+    rows = [(1, [0.0, 1.0], 1), (2, [-0.0, 1.0], 1), (3, [1e200, 1e200], 2), (4, [2e200, 2e200], 2), (5, [1e-200, 1e-200], 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3)}
+
+
 # ---------------------------------------------------------------- 8: language
 
+def plain_bayes(learn, texts):
+    """Naive Bayes with the operator's buckets, text by text and n-gram by n-gram."""
+    def grams(text):
+        low = text.lower().replace("\0", " ")
+        spaced = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low) + " "
+        words = [w for w in spaced.split(" ") if w]
+        whole = "".join(w + " " for w in words)
+        pairs = [(ord(a) * 0x10001 + ord(b)) for a, b in zip(whole, whole[1:])]
+        triples = [(ord(a) << 42) ^ (ord(b) << 21) ^ ord(c) for a, b, c in zip(whole, whole[1:], whole[2:])]
+        mask = (1 << 64) - 1
+        return [(((k ^ (k >> 29)) * 0x9E3779B97F4A7C15) & mask) >> 48 for k in pairs + triples]
+    counts = {}
+    for text, lang in learn:
+        counts.setdefault(lang, collections.Counter()).update(grams(text))
+    out = []
+    for text in texts:
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        own = collections.Counter(grams(text))
+        likely = {}
+        for lang, seen in counts.items():
+            total = math.log(sum(seen.values()) + language.SMOOTHING * language.BUCKETS)
+            likely[lang] = math.fsum(n * (math.log(seen[g] + language.SMOOTHING) - total) for g, n in own.items())
+        best = min(likely, key=lambda k: (-likely[k], k))
+        out.append((best, 1 / math.fsum(math.exp(x - likely[best]) for x in likely.values())))
+    return out
+
+
+def test_language_by_brute_force(docs):
+    odd = ["a", "12 x", "\u2728\ufe0f!", "\u0301\u0302", "e\u0301", "", None, " 1 2 ", "\u0130stanbul", "nul\0nul", "\u65e5\u672c", "x" * 50000]
+    learn = [(r.text, r.lang) for r in docs.where("lang is not null and text is not null and doc_id % 3 = 0").collect()]
+    texts = [r.text for r in docs.where("doc_id % 5 = 1").collect()] + odd
+    spark = docs.sparkSession
+    model = language.train(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(learn)], "doc_id int, text string, lang string"))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(table, model).collect()}
+    for i, (lang, score) in enumerate(plain_bayes(learn, texts)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6, texts[i][:30]
+    n = len(texts) - len(odd)
+    assert [got[n + i][0] == "und" for i in range(8)] == [False, False, True, True, False, True, True, True]
+
+
+def test_keep_identified_on_odd_rows(docs, edge):
+    kept = language.keep_identified(edge, language.train(docs))
+    assert kept.dtypes == edge.dtypes
+    assert not {r.text for r in kept.collect()} & {None, "", " \n\t "}
+
+
 def test_language(docs, edge, empty):
     model = language.train(docs.where("doc_id % 4 <> 2"))
     got = {r.doc_id: r for r in language.predict(docs, model).collect()}
@@ -457,6 +536,32 @@ def test_frequent_lines_of_a_large_host(spark):
     assert got == {d: int(d < 30) for d, _, _ in rows}
 
 
+def test_one_text_in_two_hosts_under_one_id(spark):
+    """What is frequent in one host stays in another, also where id and text are the same; a null host is one of its own."""
+    line = "boilerplate of host a\n"
+    rows = [(i, line + f"own words {i}", "a") for i in range(30)]
+    rows += [(3, rows[3][1], "b"), (4, rows[4][1], None), (5, rows[5][1], "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [(r.doc_id, r.n_removed_lines) for r in quality.judge(df).collect()]
+    same_rows(got, [(d, int(h == "a")) for d, _, h in rows])
+    clean = [(r.doc_id, r.text, r.source) for r in quality.without_lines(df, quality.frequent_lines(df)).collect()]
+    same_rows(clean, [(d, t.replace(line, "") if h == "a" else t, h) for d, t, h in rows])
+
+
+def test_line_removal_by_brute_force(docs):
+    lines = lambda t: [(re.sub(r"[\x20\t-\r]+", " ", x.lower()).strip(" "), len(WORD.findall(x)) and sum(map(len, WORD.findall(x))))
+                       for x in (t or "").split("\n") if WORD.search(x)]
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    seen = {}
+    for _, text, host in rows:
+        for line, _ in lines(text):
+            seen.setdefault((host, line), set()).add(text)
+    got = {r.doc_id: (r.n_removed_lines, r.removed_chars) for r in quality.judge(docs, min_documents=3).collect()}
+    for doc, text, host in rows:
+        gone = [chars for line, chars in lines(text) if len(seen[host, line]) > 3]
+        assert got[doc] == (len(gone), sum(gone))
+
+
 # ---------------------------------------------------------------- no rows at all
 
 def test_empty_tables(spark, empty):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import common, language, secrets
-from test_operators import base_spans, plain_components, plain_fingerprint, texts_of
+from test_minhash import plain_components, plain_links
+from test_operators import base_spans, texts_of
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +38,11 @@ def test_language_stage_keeps_clean_documents(staged):
 
 
 def test_copies_stage(staged):
+    """Of each group of texts at a similarity of five-word sets of 0.8 or more, the smallest id stays."""
     pairs = texts_of(staged["language"])
-    component = plain_components(pairs, [plain_fingerprint(t) for _, t in pairs])
-    assert sorted(d for d, _ in texts_of(staged["copies"])) == sorted({c for c in component})
+    ids = [d for d, _ in pairs]
+    component = plain_components(ids, plain_links(ids, [t for _, t in pairs]))
+    assert sorted(d for d, _ in texts_of(staged["copies"])) == sorted(set(component.values()))
 
 
 def test_secrets_stage(staged):
@@ -72,3 +75,18 @@ def test_run_gives_the_rows_of_the_stages(spark, sf):
     assert "pipeline" in __spark_entry__.queries()
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and got.count() > 100
+
+
+SHAPE = "doc_id bigint, text string, lang string, source string, n_chars bigint, tag string, node string, key int"
+
+
+def test_run_on_other_tables(spark, sf, tmp_path):
+    """No rows; repeated rows and further columns with names that operators use inside."""
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, docs in (("none", whole.limit(0)), ("odd", spark.createDataFrame(
+            [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "t", "n", 1) for r in whole.limit(40).collect() for _ in range(2)]
+            + [(None, "some text of no document at all, with words", "en", None, 3, None, None, None)], SHAPE))):
+        (tmp_path / name).mkdir()
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(got) == (name == "odd")
