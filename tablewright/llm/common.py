@@ -76,3 +76,14 @@ def tokenizer_path(name: str) -> str:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+TEXTS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Pass texts and sets of shingles to Python workers by the thousand; ten thousand of them, Spark's default, may be
+    hundreds of megabytes at either end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXTS_PER_BATCH:
+        spark.conf.set(key, str(TEXTS_PER_BATCH))
