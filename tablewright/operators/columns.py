@@ -103,18 +103,24 @@ def standardise_null_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame
     return map_columns(df, columns, text.standardise_nulls)
 
 
-def promote_temporal_columns(df: DataFrame, share: float = 1.0) -> DataFrame:
-    """Turn string columns into timestamps where at least ``share`` of the present values parse.
+# A text is a point in time only with a year, a month and a day; a time of day alone would take today's date.  One with an
+# offset other than Z keeps it as text.
+DATED = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9:.]+Z?)?\s*$"
+
+
+def promote_temporal_columns(df: DataFrame, share: float = 1.0, skip: Sequence[str] = ()) -> DataFrame:
+    """Turn string columns into timestamps where at least ``share`` of the present values parse and have a date.
 
     With less than 1 the values that do not parse become null; by default nothing is lost.
     """
-    names = string_columns(df)
+    names = [c for c in string_columns(df) if c not in skip]
     if not names:
         return df
+    dated = lambda c: F.when(c.rlike(DATED), c.try_cast("timestamp"))
     counts = df.agg(*[F.count(field(c)).alias(f"n{i}") for i, c in enumerate(names)],
-                    *[F.count(field(c).try_cast("timestamp")).alias(f"t{i}") for i, c in enumerate(names)]).first()
+                    *[F.count(dated(field(c))).alias(f"t{i}") for i, c in enumerate(names)]).first()
     dates = [c for i, c in enumerate(names) if counts[f"n{i}"] and counts[f"t{i}"] >= share * counts[f"n{i}"]]
-    return map_columns(df, dates, lambda c: c.try_cast("timestamp")) if dates else df
+    return map_columns(df, dates, dated) if dates else df
 
 
 def type_compatibility(profile: DataFrame, target: str, df: DataFrame | None = None) -> DataFrame:

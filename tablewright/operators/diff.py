@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,8 +114,9 @@ def sample_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], per_chan
                    columns: Sequence[str] | None = None) -> DataFrame:
     """Up to ``per_change`` keys of each change with the columns that differ, before and after.
 
-    The sampled keys are few by construction, so they are broadcast to both tables; for a key
-    with several rows the smallest value on each side is shown.
+    The sampled keys are few by construction, so they are broadcast to both tables.  A key with several rows has a multiset
+    of values per column: what one side has more of is shown, the smallest of it on each.  Where no column differs and rows do, a row
+    that went and one that came are shown whole, under the column name null.
     """
     names = list(columns or [c for c in old.columns if c in new.columns and c not in keys])
     states = key_states(old, new, keys, names)
@@ -122,17 +125,27 @@ def sample_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], per_chan
               .where(F.col("__rank") <= per_change).drop("__rank"))
     chosen = old.sparkSession.createDataFrame(picked.collect(), picked.schema)
 
-    def side(df: DataFrame, label: str) -> DataFrame:
-        hit = df.join(F.broadcast(chosen.select(*keys)), list(keys), "left_semi")
-        return hit.groupBy(*[A.field(k) for k in keys]).agg(
-            *[F.min(A.field(c).cast("string")).alias(f"{label}_{i}") for i, c in enumerate(names)])
-
-    joined = (chosen.join(side(old, "old"), list(keys), "left").join(side(new, "new"), list(keys), "left"))
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"old_{i}").alias("before"), F.col(f"new_{i}").alias("after"))
-        for i, c in enumerate(names)])
-    changed = F.filter(cells, lambda x: ~x["before"].eqNullSafe(x["after"]))
-    return joined.select(*[A.field(k) for k in keys], "change", changed.alias("changes"))
+    def side(df: DataFrame, more: int) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), A.field(c).cast("string").alias("value")) for i, c in enumerate(names)],
+                        F.struct(F.lit(len(names)).alias("i"), F.to_json(F.struct(*[A.field(c) for c in names])).alias("value")))
+        hit = df.select(*[A.field(k).alias(f"k{j}") for j, k in enumerate(keys)], F.explode(cells).alias("cell"))
+        few = chosen.select(*[A.field(k).alias(f"c{j}") for j, k in enumerate(keys)])
+        same = reduce(and_, [F.col(f"k{j}").eqNullSafe(F.col(f"c{j}")) for j in range(len(keys))])
+        return hit.join(F.broadcast(few), same, "left_semi").withColumn("more", F.lit(more))
+
+    own = [f"k{j}" for j in range(len(keys))]
+    surplus = (side(old, 1).unionByName(side(new, -1)).groupBy(*own, "cell").agg(F.sum("more").alias("more")).where("more <> 0")
+               .groupBy(*own, "cell.i").agg(F.min(F.when(F.col("more") > 0, F.col("cell.value"))).alias("before"),
+                                            F.min(F.when(F.col("more") < 0, F.col("cell.value"))).alias("after")))
+    name = F.array(*[F.lit(c) for c in names], F.lit(None).cast("string"))
+    listed = surplus.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("i", "before", "after"))).alias("cells"))
+    shown = F.filter("cells", lambda x: (x["i"] < len(names)) & ~x["before"].eqNullSafe(x["after"]))
+    rows = F.filter("cells", lambda x: x["i"] == len(names))
+    listed = listed.select(*own, F.transform(F.when(F.size(shown) > 0, shown).otherwise(rows), lambda x: F.struct(
+        name[x["i"]].alias("column"), x["before"].alias("before"), x["after"].alias("after"))).alias("changes"))
+    same = reduce(and_, [A.field(k).eqNullSafe(F.col(f"k{j}")) for j, k in enumerate(keys)])
+    none = F.array().cast("array<struct<column:string,before:string,after:string>>")
+    return chosen.join(listed, same, "left").select(*[A.field(k) for k in keys], "change", F.coalesce("changes", none).alias("changes"))
 
 
 # ---------------------------------------------------------------- statistics

@@ -7,16 +7,19 @@ boundaries run through the middle of equal keys.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators import aggregates as A
-from tablewright.session import durable
+from tablewright.session import durable, ship
 
-# Rows per block of the sortedness check: bounds what one window sorts.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 100_000  # rows of a range that the sortedness check looks at, about
+FOLD = 1_000          # summaries that are merged at a time
 
 _ID_BITS = 33   # monotonically_increasing_id keeps the position within a partition here
 
@@ -71,40 +74,97 @@ _TESTS = {
 }
 
 
+def _summaries(count: int, floats: frozenset[int]):
+    """Of each task, whose rows come in order: per column the first and last value and whether each test holds."""
+    def kept(column: pa.Array, k: int) -> pa.Array:
+        column = column.drop_null()
+        return column.cast(pa.int8()) if pa.types.is_boolean(column.type) else column
+
+    def smaller(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+        """a < b; NaN is the largest number and equals itself."""
+        if k in floats:
+            a, b = (x.to_numpy(zero_copy_only=False) for x in (a, b))
+            return (a < b) | (~np.isnan(a) & np.isnan(b))
+        return pc.less(a, b).to_numpy(zero_copy_only=False)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list = [None] * count
+        last: list = [None] * count
+        never = [[False, False, False, False] for _ in range(count)]  # seen: a > b, a < b, a >= b, a <= b
+        at, types = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column(0)[0] if at is None else at
+            types = [c.type for c in batch.columns[1:]]
+            for k in range(count):
+                own = kept(batch.column(k + 1), k)
+                if not len(own):
+                    continue
+                if last[k] is not None:
+                    own = pa.concat_arrays([last[k], own])
+                else:
+                    first[k] = own.slice(0, 1)
+                last[k] = own.slice(len(own) - 1)
+                rise, fall = smaller(own[:-1], own[1:], k), smaller(own[1:], own[:-1], k)
+                for slot, seen in enumerate((fall, rise, ~rise, ~fall)):
+                    never[k][slot] |= bool(seen.any())
+        if at is None:
+            return
+        columns, names = [pa.array([at.as_py()], pa.int64())], ["place"]
+        for k in range(count):
+            for label, value in (("first", first[k]), ("last", last[k])):
+                columns.append((value if value is not None else pa.nulls(1, types[k])).cast(types[k]))
+                names.append(f"{label}{k}")
+            columns += [pa.array([not seen]) for seen in never[k]]
+            names += [f"{label}{k}" for label in _TESTS]
+        yield pa.RecordBatch.from_arrays(columns, names)
+    return each
+
+
 def sortedness(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Per column: non-decreasing and non-increasing in row order, and the strict versions.
 
-    Rows are cut into blocks of bounded size that are checked on their own; then the borders
-    are checked on one summary row per block.  Nulls are passed over.
+    Rows are dealt into ranges of the key, which is the one shuffle of the table; each task reduces its range to
+    (first, last, holds) per column.  Such summaries merge associatively: they are folded ``FOLD`` at a time until one
+    is left.  Nulls are passed over; rows of one key are compared in the order they come in.
     """
-    indexed = row_index(df.select(*[A.field(c) for c in dict.fromkeys([*order_by, *columns])]),
-                        order_by, "__position")
-    position = F.col("__position")
-    blocks = indexed.withColumn("__block", F.floor(position / BLOCK_ROWS))
-    inside = (Window.partitionBy("__block").orderBy("__position")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    paired = blocks.select(
-        "__block", "__position",
-        *[A.field(c).alias(f"v{i}") for i, c in enumerate(columns)],
-        *[F.last(A.field(c), ignorenulls=True).over(inside).alias(f"p{i}") for i, c in enumerate(columns)])
-    summary = paired.groupBy("__block").agg(*[
-        agg for i, _ in enumerate(columns) for agg in (
-            F.min_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), position)).alias(f"first{i}"),
-            F.max_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), position)).alias(f"last{i}"),
-            *[F.bool_and(test(F.col(f"p{i}"), F.col(f"v{i}"))).alias(f"{label}{i}")
-              for label, test in _TESTS.items()])])
-    # One row per BLOCK_ROWS rows of the table is left here.
-    across = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bordered = summary.select("*", *[F.last(f"last{i}", ignorenulls=True).over(across).alias(f"prev{i}")
-                                     for i, _ in enumerate(columns)])
-    verdict = bordered.agg(*[
-        F.coalesce(F.bool_and(F.coalesce(F.col(f"{label}{i}"), F.lit(True))
-                              & F.coalesce(test(F.col(f"prev{i}"), F.col(f"first{i}")), F.lit(True))),
-                   F.lit(True)).alias(f"{label}{i}")
-        for i, _ in enumerate(columns) for label, test in _TESTS.items()])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{label}{i}").alias(label) for label in _TESTS])
-                     for i, c in enumerate(columns)])
-    return verdict.select(F.inline(rows))
+    ship(df.sparkSession)
+    keys = sort_columns(order_by)
+    values = [A.field(c).alias(f"v{i}") for i, c in enumerate(columns)]
+    tied = df.select(*[A.field(c) for c in dict.fromkeys(order_by)],
+                     F.struct(*values).alias("__values"), F.monotonically_increasing_id().alias("__tie"))
+    ranges = max(1, -(-df.count() // BLOCK_ROWS))
+    placed = tied.repartitionByRange(ranges, *keys, F.col("__tie")).sortWithinPartitions(*keys, F.col("__tie"))
+    rows = placed.select(F.spark_partition_id().cast("bigint").alias("place"), "__values.*")
+    types = {f.name: f.dataType for f in rows.schema}
+    floats = frozenset(i for i in range(len(columns)) if types[f"v{i}"].simpleString() in ("float", "double"))
+    schema = "place bigint, " + ", ".join(
+        f"first{i} {types[f'v{i}'].simpleString()}, last{i} {types[f'v{i}'].simpleString()}, "
+        + ", ".join(f"{label}{i} boolean" for label in _TESTS) for i in range(len(columns)))
+    summary = durable(rows.mapInArrow(_summaries(len(columns), floats), schema))
+    while ranges > 1:
+        summary = _folded(summary, len(columns))
+        ranges = -(-ranges // FOLD)
+    verdict = summary.agg(*[F.coalesce(F.bool_and(f"{label}{i}"), F.lit(True)).alias(f"{label}{i}")
+                            for i, _ in enumerate(columns) for label in _TESTS])
+    found = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{label}{i}").alias(label) for label in _TESTS])
+                      for i, c in enumerate(columns)])
+    return verdict.select(F.inline(found))
+
+
+def _folded(summary: DataFrame, count: int) -> DataFrame:
+    """Neighbouring summaries merged, ``FOLD`` to one."""
+    group = F.floor(F.col("place") / FOLD).cast("bigint")
+    before = Window.partitionBy("group").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    bordered = summary.withColumn("group", group).select("*", *[
+        F.last(f"last{i}", ignorenulls=True).over(before).alias(f"prev{i}") for i in range(count)])
+    return bordered.groupBy("group").agg(*[
+        agg for i in range(count) for agg in (
+            F.min_by(f"first{i}", F.when(F.col(f"first{i}").isNotNull(), F.col("place"))).alias(f"first{i}"),
+            F.max_by(f"last{i}", F.when(F.col(f"last{i}").isNotNull(), F.col("place"))).alias(f"last{i}"),
+            *[F.bool_and(F.col(f"{label}{i}") & F.coalesce(test(F.col(f"prev{i}"), F.col(f"first{i}")), F.lit(True)))
+              .alias(f"{label}{i}") for label, test in _TESTS.items()])]).withColumnRenamed("group", "place")
 
 
 # ---------------------------------------------------------------- samples

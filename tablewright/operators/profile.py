@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from tablewright.functions import casts
 from tablewright.functions.names import standard_names
 from tablewright.operators import aggregates as A
 from tablewright.operators import quantiles as Q
+from tablewright.session import durable, ship
 
 # Thresholds and sizes of the profile.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -254,9 +257,12 @@ def _ranked_part(df: DataFrame, numeric: Sequence[str], temporal: Sequence[str],
             first, last = _kept_ranks(n)
             quantiles[name] = {p: Q.interpolated(found.at, p, n) for p in wanted[name]}
             trimmed[name] = found.kept_sum / (last - first + 1)
-    if large:
-        quantiles |= Q.exact_quantiles(df, {n: wanted[n] for n in large}, sizes)
-        trimmed |= Q.trimmed_means(df, [n for n in large if n in numeric], TRIM_SHARE, sizes)
+    if large:  # the ranks of quantiles and of trimmed ends are selected together
+        ends = {n: _kept_ranks(sizes[n][0]) for n in large if n in numeric}
+        ranks = {n: [r for p in wanted[n] for r in Q.neighbours(p, sizes[n][0])] + list(ends.get(n, ())) for n in large}
+        stats = Q.select_ranks(df, ranks)
+        quantiles |= {n: {p: Q.interpolated(stats[n], p, sizes[n][0]) for p in wanted[n]} for n in large}
+        trimmed |= Q.means_between(df, ends, stats, sizes)
     return quantiles, trimmed
 
 
@@ -416,8 +422,38 @@ def flat_profile(profile: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- correlation
 
-# Pairs per aggregation: small enough for the JVM to compile the generated code.
-PAIRS_PER_PASS = 10
+def _comoments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a task and each pair of columns, where both have a value: their number, the mean of either, the
+    sum of products of deviations, and the sums of squares.  Batches merge pair by pair, so nothing cancels out."""
+    state = None
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1 << 14):
+            part = batch.slice(start, 1 << 14)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in part.columns])
+            there = ~np.isnan(x)
+            shift = np.where(there, x, 0).sum(0) / np.maximum(there.sum(0), 1)
+            x = np.where(there, x - shift, 0)
+            there = there.astype(np.float64)
+            n = there.T @ there
+            some = np.maximum(n, 1)
+            left, squares = x.T @ there, (x * x).T @ there  # sums of column i over rows where column j has a value
+            mean = left / some
+            new = [n, mean + shift[:, None], x.T @ x - left * mean.T, squares - left * mean]
+            state = new if state is None else _merged(state, new)
+    if state is not None:
+        i, j = np.triu_indices(len(state[0]), 1)
+        n, mean, both, square = state
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a) for a in (i.astype(np.int32), j.astype(np.int32), n[i, j], mean[i, j], mean[j, i], both[i, j],
+                                   square[i, j], square[j, i])], ["i", "j", "n", "mi", "mj", "c", "si", "sj"])
+
+
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    n = a[0] + b[0]
+    some = np.maximum(n, 1)
+    gap = b[1] - a[1]  # of the mean of i where j has a value; transposed, of j where i has one
+    weight = a[0] * b[0] / some
+    return [n, (a[0] * a[1] + b[0] * b[1]) / some, a[2] + b[2] + weight * gap * gap.T, a[3] + b[3] + weight * gap * gap]
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
@@ -425,39 +461,32 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
     """Pearson's r for all pairs as (col_i, col_j, r); diagonal 1, undefined 0.
 
     The whole table and all numeric columns take part; ``max_columns`` is a choice of the
-    caller.  Rows count for a pair where both values are present.
+    caller.  Rows count for a pair where both values are present.  One scan, whatever the number of columns: tasks
+    add up co-moments, which merge.
     """
     names = list(columns or A.numeric_columns(df))[:max_columns]
     spark = df.sparkSession
     if len(names) < 2:
         return spark.createDataFrame([], "col_i string, col_j string, r double")
-    values = {n: Q.value_column(df, n) for n in names}
-    present = A.collect_measures(df, {n: {"missing": F.count_if(values[n].isNull())} for n in names})
-    gaps = {n for n in names if present[n]["missing"]}
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    parts = []
-    for batch in A.batches(pairs, PAIRS_PER_PASS):
-        aggs, spread = [], {}
-
-        def deviation(a: str, b: str) -> str:
-            """Spread of ``a`` over the rows where ``b`` is present; shared if nothing is missing."""
-            key = (a, b if b in gaps else None)
-            if key not in spread:
-                spread[key] = f"s{len(spread)}"
-                v = F.when(values[b].isNotNull(), values[a]) if b in gaps else values[a]
-                aggs.append(F.stddev_pop(v).alias(spread[key]))
-            return spread[key]
-
-        rows = []
-        for k, (a, b) in enumerate(batch):
-            aggs.append(F.covar_pop(values[a], values[b]).alias(f"c{k}"))
-            r = F.coalesce(F.try_divide(F.col(f"c{k}"), F.col(deviation(a, b)) * F.col(deviation(b, a))),
-                           F.lit(0.0))
-            rows += [F.struct(F.lit(x).alias("col_i"), F.lit(y).alias("col_j"), r.alias("r"))
-                     for x, y in ((a, b), (b, a))]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+    ship(spark)
+    values = df.select(*[Q.value_column(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    parts = durable(values.mapInArrow(_comoments, "i int, j int, n double, mi double, mj double, c double, si double, sj double"))
+    # A row per pair and task; the deviations of the tasks' means join what the tasks have summed up.
+    total = parts.groupBy(F.col("i").alias("ti"), F.col("j").alias("tj")).agg(
+        *[F.try_divide(F.sum(F.col("n") * F.col(m)), F.sum("n")).alias(f"all_{m}") for m in ("mi", "mj")])
+    di, dj = F.col("mi") - F.col("all_mi"), F.col("mj") - F.col("all_mj")
+    sums = (parts.where("n > 0").join(total, (F.col("i") == F.col("ti")) & (F.col("j") == F.col("tj"))).groupBy("i", "j")
+            .agg(F.sum(F.col("c") + F.col("n") * di * dj).alias("c"), F.sum(F.col("si") + F.col("n") * di * di).alias("si"),
+                 F.sum(F.col("sj") + F.col("n") * dj * dj).alias("sj")))
+    r = F.coalesce(F.try_divide(F.col("c"), F.sqrt("si") * F.sqrt("sj")), F.lit(0.0))
+    name = F.array(*[F.lit(n) for n in names])
+    found = sums.select("i", "j", F.when(~F.isnan(r), r).otherwise(0.0).alias("r"))
+    every = spark.createDataFrame([(i, j) for i in range(len(names)) for j in range(i + 1, len(names))], "i int, j int")
+    both = every.join(found, ["i", "j"], "left").select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"),
+                                                        F.coalesce("r", F.lit(0.0)).alias("r"))
+    pair = lambda x, y: F.struct(F.col(x).alias("col_i"), F.col(y).alias("col_j"), F.col("r").alias("r"))
     diagonal = spark.createDataFrame([(n, n, 1.0) for n in names], "col_i string, col_j string, r double")
-    return A.union_all([*parts, diagonal])
+    return both.select(F.inline(F.array(pair("a", "b"), pair("b", "a")))).union(diagonal)
 
 
 # ---------------------------------------------------------------- verdicts over the profile

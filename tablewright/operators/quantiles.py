@@ -1,11 +1,13 @@
 """Exact quantiles, order statistics and trimmed means without sorting the table.
 
-A column with at most ``STATE_LIMIT`` distinct values is reduced to (value, count) pairs, which
-are sorted and summed up per column.  For a column with more distinct values the wanted ranks
-are narrowed down instead: a fixed-size sketch proposes an open interval around each rank, one
-counting pass proves how many rows lie below and inside it, and this repeats until the inside
-holds few enough distinct values for an exact answer.  Every narrowing pass is a plain
-aggregation with map-side combine; no row is shuffled and nothing is dropped or sampled.
+Columns with at most ``STATE_LIMIT`` distinct values are reduced to (value, count) pairs, which
+are sorted and summed up per column.  The ranks of all other columns are selected jointly: the
+values of all columns are stacked and counted by ordered buckets, (column, bucket) at a time,
+and every rank goes on in the bucket that holds it.  The first buckets are sixteenths of powers
+of two, the next ones cut the range of values that a bucket really has into ``PARTS``; so after
+one round and three or four more, whatever the values, every bucket is a single value.  A round
+is one scan for all ranks of all columns, with map-side combine; no row is shuffled and nothing
+is dropped, sampled or estimated.
 """
 
 from __future__ import annotations
@@ -20,49 +22,28 @@ from pyspark.sql import functions as F
 from tablewright.operators.aggregates import as_double, batches, collect_measures, field, stacked
 
 STATE_LIMIT = 1_000_000
-SKETCH_ACCURACY = 10_000
+PARTS = 65_536
 # approx_count_distinct has a relative error of 5 % (one standard deviation).
 DISTINCT_MARGIN = 1.25
 
 
-@dataclass
-class Interval:
-    """Open interval of values that holds the row of one rank (0-based, nulls left out)."""
-
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0          # rows <= low
-    inside: int = 0         # rows strictly between low and high
-    distinct: int = 0       # estimate for the rows inside
-    answer: float | None = None
-
-    def holds(self, value: Column) -> Column:
-        test = value.isNotNull()
-        if self.low is not None:
-            test = test & (value > self.low)
-        if self.high is not None:
-            test = test & (value < self.high)
-        return test
-
-
 def value_column(df: DataFrame, name: str) -> Column:
     return as_double(field(name), df.schema[name].dataType)
 
 
 def column_sizes(df: DataFrame, columns: Sequence[str],
                  state_limit: int = STATE_LIMIT) -> dict[str, tuple[int, int]]:
-    """(non-null rows, upper estimate of distinct values) per column.
+    """(non-null rows, upper estimate of distinct values) per column, from one scan.
 
-    The row count bounds the distinct values of a small table; only beyond the limit is a
-    sketch asked.
+    The row count bounds the distinct values of a small table; only beyond the limit does the
+    sketch say anything.
     """
-    rows = collect_measures(df, {name: {"n": F.count(value_column(df, name))} for name in columns})
-    large = [name for name in columns if rows[name]["n"] > state_limit]
-    spread = collect_measures(df, {
-        name: {"d": F.approx_count_distinct(value_column(df, name))} for name in large})
-    return {name: (rows[name]["n"], spread[name]["d"] if name in spread else rows[name]["n"])
-            for name in columns}
+    if not columns:
+        return {}
+    rows = (stacked(df, [value_column(df, name) for name in columns]).groupBy("i")
+            .agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).collect())
+    found = {columns[r["i"]]: (r["n"], r["d"] if r["n"] > state_limit else r["n"]) for r in rows}
+    return {name: found.get(name, (0, 0)) for name in columns}
 
 
 def _long_array(values: Iterable[int]) -> str:
@@ -113,124 +94,73 @@ def rank_values(df: DataFrame, ranks: dict[str, Sequence[int]],
     return result
 
 
-def _settle(interval: Interval, proposal: tuple[float, float] | None, counts: dict) -> None:
-    """Shrink the interval with counts for a proposed pair of cut values."""
-    low, high = proposal
-    rank = interval.rank
-    for cut in (low, high):
-        less, up_to = counts[f"lt_{cut!r}"], counts[f"le_{cut!r}"]
-        if less <= rank < up_to:
-            interval.answer = cut
-            return
-        if up_to <= rank and (interval.low is None or cut > interval.low):
-            interval.low, interval.below = cut, up_to
-        if rank < less and (interval.high is None or cut < interval.high):
-            interval.high = cut
-            interval.inside = less
-    upper = interval.inside if interval.high is not None else counts["n"]
-    interval.inside = upper - interval.below
+def _first_bucket(v: Column) -> Column:
+    """Sixteenths of powers of two, in the order of the values: a monotone function."""
+    size = F.floor((F.log2(F.abs(v)) + 1100) * 16).cast("bigint")
+    ends = F.when(v == float("inf"), 1 << 20).when(v == float("-inf"), -(1 << 20))
+    return ends.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("bigint")
+
+
+def select_ranks(df: DataFrame, wanted: dict[str, Sequence[int]], parts: int = PARTS) -> dict[str, dict[int, float]]:
+    """Value at each 0-based rank (below the number of non-null rows) of all columns at once; a scan per round."""
+    names = [n for n, ranks in wanted.items() if ranks]
+    done: dict[str, dict[int, float]] = {n: {} for n in wanted}
+    spark = df.sparkSession
+    values = stacked(df, [value_column(df, n) for n in names]).where("v IS NOT NULL") if names else None
+    # (column, interval, place of the rank inside, rank), and per interval its least and largest value.
+    open_ = [(i, 0, r, r) for i, n in enumerate(names) for r in sorted(set(wanted[n]))]
+    bounds: list[tuple] | None = None
+    while open_:
+        if bounds is None:
+            cut = values.select("i", F.lit(0).alias("k"), _first_bucket(F.col("v")).alias("b"), "v")
+        else:  # as many rows as there are open ranks
+            ends = spark.createDataFrame(bounds, "j int, k int, low double, high double")
+            share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
+            cut = values.join(F.broadcast(ends), (F.col("i") == F.col("j")) & (F.col("v") >= F.col("low"))
+                              & (F.col("v") <= F.col("high"))).select(
+                "i", "k", F.floor(share * parts).cast("bigint").alias("b"), "v")
+        buckets = cut.groupBy("i", "k", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("i", "k").orderBy("b"))
+        placed = buckets.select("i", "k", "b", "low", "high", (upto - F.col("n")).alias("start"), upto.alias("end"))
+        ranks = spark.createDataFrame(open_, "i int, k int, place bigint, rank bigint")
+        found = placed.join(F.broadcast(ranks), ["i", "k"]).where("start <= place AND place < end").select(
+            "i", "rank", "low", "high", (F.col("place") - F.col("start")).alias("place")).collect()
+        open_, numbers = [], {}
+        for row in found:
+            if row["low"] == row["high"]:
+                done[names[row["i"]]][row["rank"]] = row["low"]
+            else:
+                key = (row["i"], row["low"], row["high"])
+                open_.append((row["i"], numbers.setdefault(key, len(numbers)), row["place"], row["rank"]))
+        bounds = [(i, k, low, high) for (i, low, high), k in numbers.items()]
+    return done
+
+
+def few_values(size: tuple[int, int], state_limit: int = STATE_LIMIT) -> bool:
+    """Whether a column of (rows, distinct values) may be sorted by its distinct values."""
+    return min(size[0], size[1] * DISTINCT_MARGIN) <= state_limit
 
 
 def order_statistics(df: DataFrame, wanted: dict[str, Sequence[int]],
                      sizes: dict[str, tuple[int, int]] | None = None,
                      state_limit: int = STATE_LIMIT,
-                     accuracy: int = SKETCH_ACCURACY) -> dict[str, dict[int, float]]:
-    """Value at each 0-based rank of each column's sorted non-null values."""
+                     accuracy: int = PARTS) -> dict[str, dict[int, float]]:
+    """Value at each 0-based rank of each column's sorted non-null values; ``accuracy`` is the number of parts into
+    which a round of selection cuts a bucket."""
     sizes = sizes or column_sizes(df, list(wanted), state_limit)
+    inside = {name: [r for r in ranks if 0 <= r < sizes[name][0]] for name, ranks in wanted.items()}
     done: dict[str, dict[int, float]] = {name: {} for name in wanted}
-    direct = {name: [r for r in ranks if 0 <= r < sizes[name][0]] for name, ranks in wanted.items()
-              if min(sizes[name][0], sizes[name][1] * DISTINCT_MARGIN) <= state_limit}
-    if any(direct.values()):
-        for name, found in rank_values(df, {n: r for n, r in direct.items() if r}).items():
-            done[name] = found.at
-    wanted = {name: ranks for name, ranks in wanted.items() if name not in direct}
-    values = {name: value_column(df, name) for name in wanted}
-    open_intervals: dict[str, list[Interval]] = {}
-    for name, ranks in wanted.items():
-        n, d = sizes[name]
-        open_intervals[name] = [Interval(rank=r, inside=n, distinct=d)
-                                for r in sorted(set(ranks)) if 0 <= r < n]
-
-    def small(interval: Interval) -> bool:
-        return min(interval.distinct * DISTINCT_MARGIN, interval.inside) <= state_limit
-
-    while True:
-        large = {name: [i for i in ivs if i.answer is None and not small(i)]
-                 for name, ivs in open_intervals.items()}
-        large = {name: ivs for name, ivs in large.items() if ivs}
-        if not large:
-            break
-        proposals = collect_measures(df, {
-            name: {
-                k: F.percentile_approx(
-                    F.when(iv.holds(values[name]), values[name]),
-                    [max(0.0, (iv.rank - iv.below) / iv.inside - 2.0 / accuracy),
-                     min(1.0, (iv.rank - iv.below + 1) / iv.inside + 2.0 / accuracy)],
-                    accuracy)
-                for k, iv in enumerate(ivs)
-            }
-            for name, ivs in large.items()
-        })
-        cuts = {name: sorted({cut for pair in found.values() for cut in pair})
-                for name, found in proposals.items()}
-        counts = collect_measures(df, {
-            name: {
-                "n": F.count(values[name]),
-                **{f"lt_{c!r}": F.count_if(values[name] < c) for c in cuts[name]},
-                **{f"le_{c!r}": F.count_if(values[name] <= c) for c in cuts[name]},
-            }
-            for name in large
-        })
-        for name, ivs in large.items():
-            for k, iv in enumerate(ivs):
-                before = (iv.low, iv.high)
-                _settle(iv, proposals[name][k], counts[name])
-                if iv.answer is None and before == (iv.low, iv.high):
-                    raise RuntimeError(f"no progress on rank {iv.rank} of column {name!r}")
-        still = {name: [iv for iv in ivs if iv.answer is None] for name, ivs in large.items()}
-        still = {name: ivs for name, ivs in still.items() if ivs}
-        if still:
-            spread = collect_measures(df, {
-                name: {k: F.approx_count_distinct(F.when(iv.holds(values[name]), values[name]))
-                       for k, iv in enumerate(ivs)}
-                for name, ivs in still.items()
-            })
-            for name, ivs in still.items():
-                for k, iv in enumerate(ivs):
-                    iv.distinct = spread[name][k]
-
-    for name, ivs in open_intervals.items():
-        groups: dict[tuple, list[Interval]] = {}
-        for iv in ivs:
-            if iv.answer is not None:
-                done[name][iv.rank] = iv.answer
-            else:
-                groups.setdefault((iv.low, iv.high), []).append(iv)
-        for same in groups.values():
-            first = same[0]
-            inner = F.when(first.holds(values[name]), values[name])
-            positions = [(iv.rank - iv.below) for iv in same]
-            found = _ranked(df, inner, positions, first.inside)
-            for iv, value in zip(same, found):
-                done[name][iv.rank] = value
+    direct = {n: r for n, r in inside.items() if r and few_values(sizes[n], state_limit)}
+    if direct:
+        done.update({name: found.at for name, found in rank_values(df, direct).items()})
+    done.update(select_ranks(df, {n: r for n, r in inside.items() if r and n not in direct}, accuracy))
     return done
 
 
-def _ranked(df: DataFrame, inner: Column, positions: Sequence[int], rows: int) -> list[float]:
-    """Values at sorted positions; the distinct values of ``inner`` are known to be few.
-
-    Counts per value are combined on the map side; positions half a row inside each rank make
-    ``percentile_disc`` return exactly the value at that rank.
-    """
-    shares = [(p + 0.5) / rows for p in positions]
-    picks = [F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY v)") for share in shares]
-    return list(df.select(inner.alias("v")).where("v IS NOT NULL").agg(*picks).first())
-
-
 def exact_quantiles(df: DataFrame, requests: dict[str, Sequence[float]],
                     sizes: dict[str, tuple[int, int]] | None = None,
                     state_limit: int = STATE_LIMIT,
-                    accuracy: int = SKETCH_ACCURACY) -> dict[str, dict[float, float | None]]:
+                    accuracy: int = PARTS) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles per column."""
     if not requests:
         return {}
@@ -263,7 +193,7 @@ def trim_ranks(n: int, share: float) -> tuple[int, int] | None:
 def trimmed_means(df: DataFrame, columns: Sequence[str], share: float,
                   sizes: dict[str, tuple[int, int]] | None = None,
                   state_limit: int = STATE_LIMIT,
-                  accuracy: int = SKETCH_ACCURACY) -> dict[str, float | None]:
+                  accuracy: int = PARTS) -> dict[str, float | None]:
     """Mean after cutting ``int(n * share)`` values from each end.
 
     Beyond the state limit two order statistics mark the cuts; ties at a cut value are kept in
@@ -282,26 +212,28 @@ def trimmed_means(df: DataFrame, columns: Sequence[str], share: float,
         for name, found in rank_values(df, {n: [] for n in direct}, {n: ends[n] for n in direct}).items():
             result[name] = found.kept_sum / (ends[name][1] - ends[name][0] + 1)
     large = [n for n in columns if ends[n] and n not in direct]
-    if not large:
-        return result
-    stats = order_statistics(df, {n: ends[n] for n in large}, {n: sizes[n] for n in large},
-                             state_limit, accuracy)
-    cuts = {n: tuple(stats[n][r] for r in ends[n]) for n in large}
-    wanted = {}
-    for name in large:
-        v, (low, high) = value_column(df, name), cuts[name]
-        wanted[name] = {
-            "up_to_low": F.count_if(v <= low),
-            "below_high": F.count_if(v < high),
-            "between": F.coalesce(F.sum(F.when((v > low) & (v < high), v)), F.lit(0.0)),
-        }
-    found = collect_measures(df, wanted)
-    for name in large:
-        n, k, m = sizes[name][0], ends[name][0], found[name]
-        low, high = cuts[name]
-        if low == high:
-            result[name] = low
-            continue
-        total = m["between"] + low * (m["up_to_low"] - k) + high * (n - k - m["below_high"])
-        result[name] = total / (n - 2 * k)
+    if large:
+        stats = order_statistics(df, {n: ends[n] for n in large}, {n: sizes[n] for n in large}, state_limit, accuracy)
+        result.update(means_between(df, {n: ends[n] for n in large}, stats, sizes))
+    return result
+
+
+def means_between(df: DataFrame, ends: dict[str, tuple[int, int]], stats: dict[str, dict[int, float]],
+                  sizes: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Mean of the values from the first to the last rank of each column, whose values are known; one scan for all."""
+    names = list(ends)
+    if not names:
+        return {}
+    cuts = {n: tuple(stats[n][r] for r in ends[n]) for n in names}
+    limits = df.sparkSession.createDataFrame([(i, *cuts[n]) for i, n in enumerate(names)], "j int, low double, high double")
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    rows = (stacked(df, [value_column(df, n) for n in names]).join(F.broadcast(limits), F.col("i") == F.col("j")).groupBy("i")
+            .agg(F.count_if(v <= low).alias("up_to_low"), F.count_if(v < high).alias("below_high"),
+                 F.coalesce(F.sum(F.when((v > low) & (v < high), v)), F.lit(0.0)).alias("between")).collect())
+    result = {}
+    for row in rows:
+        name = names[row["i"]]
+        (first, last), (low, high) = ends[name], cuts[name]
+        total = row["between"] + low * (row["up_to_low"] - first) + high * (last + 1 - row["below_high"])
+        result[name] = low if low == high else total / (last - first + 1)
     return result

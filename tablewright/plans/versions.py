@@ -1,7 +1,8 @@
-"""Immutable table versions: Parquet directories plus one append-only table of events.
+"""Immutable table versions: Parquet directories plus one log of events.
 
-Data is written first and the event row last, so a job that dies half-way leaves an unnamed
-directory behind and no broken version.  One writer per dataset.
+Data is written first and the event last, so a job that dies half-way leaves an unnamed
+directory behind and no broken version.  Events are numbered commits (module ``eventlog``), of which two
+writers never take the same; their order is that of the versions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import datetime
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from tablewright.operators import columns as C
 from tablewright.operators import diff
 from tablewright.operators.aggregates import union_all
+from tablewright.plans.eventlog import EventLog
 from tablewright.plans.sql import sql_tables
 from tablewright.plans.steps import apply_transforms
 from tablewright.sources import files
@@ -41,8 +43,11 @@ EVENTS = T.StructType([
     T.StructField("column_count", T.IntegerType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("makes_active", T.BooleanType()),
+    T.StructField("schema", T.StringType()),           # JSON; of a file whose format has no types
 ])
 
+ORDER = ("commit", "seq")  # of events
+
 
 class VersionError(ValueError):
     """No such version, or a step that versions do not allow."""
@@ -73,6 +78,7 @@ class Version:
     projection: list[str] | None
     row_count: int | None
     column_count: int | None
+    schema: str | None = None
 
 
 class VersionStore:
@@ -81,7 +87,7 @@ class VersionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.events_path = f"{self.root}/versions"
+        self.log = EventLog(spark, f"{self.root}/versions", EVENTS)
 
     # -- metadata -----------------------------------------------------------
 
@@ -90,17 +96,20 @@ class VersionStore:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def events(self) -> DataFrame:
-        if not self._exists(self.events_path):
-            return self.spark.createDataFrame([], EVENTS)
-        return self.spark.read.schema(EVENTS).parquet(self.events_path)
+        return self.log.read()
+
+    @staticmethod
+    def _event(event: str, version: Version, transforms: Sequence[Mapping] = (), makes_active: bool = True) -> dict[str, Any]:
+        now = datetime.datetime.now(datetime.timezone.utc)
+        return {"event": event, "dataset": version.dataset, "version_id": version.version_id, "parent_id": version.parent_id,
+                "stage": version.stage, "format": version.format, "location": version.location,
+                "projection": json.dumps(version.projection) if version.projection is not None else None,
+                "transforms": json.dumps(list(transforms)), "row_count": version.row_count, "column_count": version.column_count,
+                "created_at": now.isoformat(timespec="microseconds"), "makes_active": makes_active, "schema": version.schema}
 
     def _append(self, event: str, version: Version, transforms: Sequence[Mapping] = (),
                 makes_active: bool = True) -> None:
-        now = datetime.datetime.now(datetime.timezone.utc)
-        row = (event, version.dataset, version.version_id, version.parent_id, version.stage, version.format,
-               version.location, json.dumps(version.projection) if version.projection is not None else None,
-               json.dumps(list(transforms)), version.row_count, version.column_count, now, makes_active)
-        self.spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(self.events_path)
+        self.log.append([self._event(event, version, transforms, makes_active)])
 
     def _of(self, dataset: str) -> DataFrame:
         mine = self.events().where(F.col("dataset") == dataset)
@@ -116,14 +125,14 @@ class VersionStore:
         rows = self._of(dataset)
         created = rows.where("event = 'create'")
         if which == "raw":
-            hit = created.where("stage = 'Raw'").orderBy("created_at")
+            hit = created.where("stage = 'Raw'").orderBy(*ORDER)
         elif which == "active":
-            last = rows.where("makes_active").agg(F.max_by("version_id", "created_at").alias("version_id"))
+            last = rows.where("makes_active").agg(F.max_by("version_id", F.struct(*ORDER)).alias("version_id"))
             hit = created.join(last, "version_id", "left_semi")
         elif which == "latest":
-            hit = created.orderBy(F.desc("created_at"))
+            hit = created.orderBy(*map(F.desc, ORDER))
         elif which.startswith("stage:"):
-            hit = created.where(F.col("stage") == which[6:]).orderBy(F.desc("created_at"))
+            hit = created.where(F.col("stage") == which[6:]).orderBy(*map(F.desc, ORDER))
         else:
             hit = created.where(F.col("version_id") == which)
         row = hit.first()
@@ -131,24 +140,36 @@ class VersionStore:
             raise VersionError(f"dataset {dataset!r} has no version {which!r}")
         return Version(row["version_id"], row["parent_id"], dataset, row["stage"], row["format"],
                        row["location"], json.loads(row["projection"]) if row["projection"] else None,
-                       row["row_count"], row["column_count"])
+                       row["row_count"], row["column_count"], row["schema"])
 
     # -- create -------------------------------------------------------------
 
     def version_create_raw(self, dataset: str, source: str, fmt: str | None = None,
-                           shape: tuple[int, int] | None = None) -> str:
+                           shape: tuple[int, int] | None = None, schema: T.StructType | None = None) -> str:
         """Register a file or table as the first version; nothing is copied.
 
-        ``shape`` gives the numbers of rows and columns where they are known already.
+        ``shape`` gives the numbers of rows and columns, ``schema`` the types, where they are known already.  The types of
+        a text file are kept with the version, so every read has the same.
         """
-        fmt = fmt or files.format_of(source)
-        if shape is None:
-            df = files.load(self.spark, source, fmt)
-            shape = df.count(), len(df.columns)
-        version = Version(str(uuid.uuid4()), None, dataset, "Raw", fmt, source, None, *shape)
+        version = self._raw(dataset, source, fmt, shape, schema)
         self._append("create", version)
         return version.version_id
 
+    def _raw(self, dataset: str, source: str, fmt: str | None, shape: tuple[int, int] | None, schema: T.StructType | None) -> Version:
+        fmt = fmt or files.format_of(source)
+        typed = fmt == "parquet"
+        if shape is None or schema is None and not typed:
+            df = files.load(self.spark, source, fmt)
+            shape, schema = shape or (df.count(), len(df.columns)), df.schema
+        return Version(str(uuid.uuid4()), None, dataset, "Raw", fmt, source, None, *shape, None if typed else schema.json())
+
+    def register(self, dataset: str, source: str, fmt: str, shape: tuple[int, int], schema: T.StructType | None = None) -> str:
+        """A Raw version and its Profiled child in one commit; nothing is read."""
+        raw = self._raw(dataset, source, fmt, shape, schema)
+        child = replace(raw, version_id=str(uuid.uuid4()), parent_id=raw.version_id, stage="Profiled")
+        self.log.append([self._event("create", raw), self._event("create", child)])
+        return child.version_id
+
     def is_noop(self, transforms: Sequence[Mapping[str, Any]], parent: Version) -> bool:
         """No rewrite is needed: nothing to do, or a single restricted clean of a cleaned parent."""
         if not transforms:
@@ -166,11 +187,10 @@ class VersionStore:
         if len(transforms) == 1 and transforms[0].get("transform_type") == "select_columns":
             names = list(transforms[0]["parameters"]["columns"])
             C.require(self._read(parent), names)
-            child = Version(fresh, parent.version_id, dataset, stage, parent.format, parent.location, names,
-                            parent.row_count, len(names))
+            child = replace(parent, version_id=fresh, parent_id=parent.version_id, stage=stage, projection=names,
+                            column_count=len(names))
         elif self.is_noop(transforms, parent):
-            child = Version(fresh, parent.version_id, dataset, stage, parent.format, parent.location,
-                            parent.projection, parent.row_count, parent.column_count)
+            child = replace(parent, version_id=fresh, parent_id=parent.version_id, stage=stage)
         else:
             child = self._write(fresh, parent, stage, apply_transforms(self._read(parent), transforms))
         self._append("create", child, transforms)
@@ -190,8 +210,7 @@ class VersionStore:
         source = self.get(dataset, which)
         fresh = str(uuid.uuid4())
         if mode == "view":
-            child = Version(fresh, source.version_id, dataset, "Published", source.format, source.location,
-                            source.projection, source.row_count, source.column_count)
+            child = replace(source, version_id=fresh, parent_id=source.version_id, stage="Published")
             if view:
                 self._read(child).createOrReplaceTempView(view)
         elif mode == "snapshot":
@@ -207,7 +226,8 @@ class VersionStore:
     # -- read ---------------------------------------------------------------
 
     def _read(self, version: Version) -> DataFrame:
-        df = files.load(self.spark, version.location, version.format)
+        known = {"types": T.StructType.fromJson(json.loads(version.schema))} if version.schema else {}
+        df = files.load(self.spark, version.location, version.format, **known)
         return df if version.projection is None else C.select_columns(df, version.projection)
 
     def version_read(self, dataset: str, which: str = "active") -> DataFrame:
@@ -284,9 +304,10 @@ class VersionStore:
         if active not in keep:
             raise VersionError("the active version has to be kept")
         doomed = sorted(r["version_id"] for r in self.unreferenced(dataset, keep).collect())
-        for version_id in known:
-            if version_id not in keep:
-                self._append("remove", self.get(dataset, version_id), makes_active=False)
+        gone = [self._event("remove", Version(i, r["parent_id"], dataset, r["stage"], None, r["location"], None, r["row_count"],
+                                              r["column_count"]), makes_active=False) for i, r in known.items() if i not in keep]
+        if gone:
+            self.log.append(gone)
         for version_id in doomed:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{dataset}/{version_id}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

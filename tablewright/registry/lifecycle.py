@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import diff as D
 from tablewright.operators import models as M
+from tablewright.operators.aggregates import union_all
 from tablewright.operators.insights import column_warnings
 from tablewright.operators.profile import profile_table
 from tablewright.plans import catalog, manifest
@@ -242,15 +243,49 @@ def file_hash(spark, sf):
     return manifest.file_hash(spark, sf, glob="*.parquet")
 
 
-@query("file_hash_text", """
-SELECT CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS sha256 FROM (
-    SELECT string_agg(concat(CAST(o_orderkey AS VARCHAR), '|', o_orderpriority, chr(10)), '' ORDER BY o_orderkey) AS t FROM orders)""")
-def file_hash_text(spark, sf):
-    """The hash of a file whose bytes are known: lines of orders, sorted, in one file."""
+KEYS_OF_A_FILE = 10_000
+LINES_SQL = f"""lines AS (
+    SELECT o_orderkey // {KEYS_OF_A_FILE} AS bucket,
+           string_agg(concat(CAST(o_orderkey AS VARCHAR), '|', o_orderpriority, chr(10)), '' ORDER BY o_orderkey) AS t
+    FROM orders GROUP BY 1)"""
+
+
+def _lines(spark, sf):
+    """Text files whose bytes are known: sorted lines of orders, one file per range of keys."""
     path = scratch_path(spark, "lines")
-    (table(spark, sf, "orders").select("o_orderkey", F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
-     .coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path))
-    return manifest.file_hash(spark, path).select("size", "sha256")
+    bucket = F.floor(F.col("o_orderkey") / KEYS_OF_A_FILE).cast("bigint")
+    (table(spark, sf, "orders").select(
+        "o_orderkey", bucket.alias("bucket"), F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+     .repartition("bucket").sortWithinPartitions("bucket", "o_orderkey").select("bucket", "value")
+     .write.partitionBy("bucket").text(path))
+    return path
+
+
+def _bucket_of_file():
+    return F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("bigint").alias("bucket")
+
+
+@query("file_hash_text", f"""
+WITH {LINES_SQL} SELECT CAST(bucket AS BIGINT) AS bucket, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS sha256 FROM lines""")
+def file_hash_text(spark, sf):
+    return manifest.file_hash(spark, _lines(spark, sf)).select(_bucket_of_file(), "size", "sha256")
+
+
+RANGE = 4096
+
+
+@query("file_hash_ranges", f"""
+WITH {LINES_SQL}, r AS (SELECT bucket, t, unnest(range(0, CAST(length(t) AS BIGINT), {RANGE})) AS o FROM lines WHERE length(t) > {RANGE}),
+h AS (SELECT CAST(bucket AS BIGINT) AS bucket, CAST(o AS BIGINT) AS "offset", sha256(substr(t, CAST(o + 1 AS BIGINT), {RANGE})) AS sha256 FROM r)
+SELECT bucket, "offset", sha256 FROM h UNION ALL SELECT bucket, CAST(-1 AS BIGINT), sha256(string_agg(sha256, '' ORDER BY "offset")) FROM h GROUP BY bucket
+UNION ALL SELECT CAST(bucket AS BIGINT), CAST(-1 AS BIGINT), sha256(t) FROM lines WHERE length(t) <= {RANGE}""")
+def file_hash_ranges(spark, sf):
+    """Hashes of ranges of 4,096 bytes and, with offset -1, of the files that they make up."""
+    path = _lines(spark, sf)
+    ranges = manifest.range_hashes(spark, path, chunk=RANGE)
+    whole = manifest.file_hash(spark, path, chunk=RANGE)
+    return ranges.select(_bucket_of_file(), "offset", "sha256").union(
+        whole.select(_bucket_of_file(), F.lit(-1).cast("bigint"), "sha256"))
 
 
 def _written(spark, sf):
@@ -270,8 +305,9 @@ def manifest_create(spark, sf):
 @query("manifest_verify", """
 SELECT 'untouched' AS state, count(*) > 0 AS passed, CAST(4 AS BIGINT) AS ok, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS new FROM orders
 UNION ALL SELECT 'rewritten', false, 0, 4, 4 FROM (SELECT count(*) FROM orders)
-UNION ALL SELECT 'partitioned', true, count(DISTINCT o_orderstatus), 0, 0 FROM orders
-UNION ALL SELECT 'one partition gone', false, count(DISTINCT o_orderstatus) - 1, 1, 0 FROM orders""")
+UNION ALL SELECT 'partitioned', true, count(DISTINCT concat(o_orderstatus, o_orderkey % 8)), 0, 0 FROM orders
+UNION ALL SELECT 'one partition gone', false, count(DISTINCT concat(o_orderstatus, o_orderkey % 8)) - min(lost.n), min(lost.n), 0
+FROM orders, (SELECT count(DISTINCT o_orderkey % 8) AS n FROM orders WHERE o_orderstatus = (SELECT min(o_orderstatus) FROM orders)) AS lost""")
 def manifest_verify(spark, sf):
     path = _written(spark, sf)
     manifest.manifest_create(spark, path)
@@ -279,8 +315,8 @@ def manifest_verify(spark, sf):
     files.sink_parquet(table(spark, sf, "orders").repartition(4, "o_custkey"), path)
     second = manifest.manifest_verify(spark, path).collect()
     parts = scratch_path(spark, "receipt") + ".parquet"
-    orders = table(spark, sf, "orders")
-    orders.repartition(1).write.partitionBy("o_orderstatus").parquet(parts)
+    orders = table(spark, sf, "orders").withColumn("part", F.col("o_orderkey") % 8)
+    orders.repartition("o_orderstatus", "part").write.partitionBy("o_orderstatus", "part").parquet(parts)
     manifest.manifest_create(spark, parts)
     third = manifest.manifest_verify(spark, parts).collect()
     lost = orders.agg(F.min("o_orderstatus")).first()[0]
@@ -428,7 +464,7 @@ def stream_file_ready(spark, sf):
 
 def _ingested(spark, sf, **how):
     folder, root = _arrived(spark, sf), scratch_path(spark, "ingest")
-    stream = ingest.stream_folder_source(spark, folder, "csv", _csv_schema(spark), glob="part-*.csv")
+    stream = ingest.stream_files(spark, folder, "part-*.csv")
     log = ingest.IngestLog(spark, f"{root}/ingest_log")
     store = VersionStore(spark, root)
     ingest.stream_ingest(stream, store, log, "csv", f"{root}/state", available_now=True, **how).awaitTermination()
@@ -458,8 +494,21 @@ def stream_ingest_now(spark, sf):
         F.count(F.lit(1)).alias("files"), F.sum("row_count").alias("row_count"))
 
 
-@query("stream_archive_source", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys FROM orders")
+@query("stream_archive_source", """
+SELECT place, CAST(n AS BIGINT) AS n, CAST(keys AS BIGINT) AS keys FROM (
+    SELECT 'source' AS place, 0 AS n, 0 AS keys FROM (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'archive', 3, count(DISTINCT o_orderkey) FROM orders
+    UNION ALL SELECT 'versions', 3, count(DISTINCT o_orderkey) FROM orders)""")
 def stream_archive_source(spark, sf):
-    stream = ingest.stream_folder_source(spark, _arrived(spark, sf, 3), "csv", _csv_schema(spark), max_files_per_trigger=1,
-                                         archive_dir=scratch_path(spark, "processed"), glob="part-*.csv")
-    return _stream_to_table(spark, stream).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"))
+    """Files and keys left in the source folder, in the archive, and readable through the versions after the move."""
+    folder, archive, root = _arrived(spark, sf, 3), scratch_path(spark, "processed"), scratch_path(spark, "ingest")
+    log = ingest.stream_ingest_now(spark, folder, "csv", root, archive_dir=archive, glob="part-*.csv")
+    left = ingest.stream_file_ready(spark, folder, "part-*.csv", 0).count()
+    moved = ingest.stream_file_ready(spark, archive, "part-*.csv", 0).count()
+    store = VersionStore(spark, root)
+    names = [r["dataset"] for r in log.where("state = 'succeeded'").select("dataset").distinct().collect()]
+    read = union_all([store.version_read(name).select("o_orderkey") for name in names])
+    kept = files.load(spark, f"{archive}/part-*.csv", "csv").select("o_orderkey")
+    count = lambda df: df.select("o_orderkey").distinct().count()
+    return literal_rows(spark, [("source", left, 0), ("archive", moved, count(kept)), ("versions", len(names), count(read))],
+                        "place string, n bigint, keys bigint")

@@ -6,13 +6,14 @@ import datetime
 import posixpath
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.aggregates import field
 from tablewright.operators.columns import promote_temporal_columns
 from tablewright.session import scratch_path
+from tablewright.sources import records
 
 RECORDS_PER_FILE = 1_000_000  # of text sinks, so that files that are one task each stay small
 
@@ -38,23 +39,73 @@ def format_of(path: str, default: str | None = None) -> str:
     raise UnsupportedFormatError(f"unsupported file format {suffix!r} of {path}; known: {', '.join(FORMATS)}")
 
 
+CORRUPT = "_corrupt_record"
+
+
 def scan_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",",
              encoding: str = "utf-8", multi_line: bool = True, schema: T.StructType | None = None,
-             promote_dates: bool = True) -> DataFrame:
+             promote_dates: bool = True, ragged: str = "fail", exact: bool = True,
+             types: T.StructType | None = None) -> DataFrame:
     """CSV with types that fit all rows: a column that one value does not fit stays text.
 
-    Line breaks inside quotes are part of a value, which makes each file one task; without ``multi_line`` large files
-    are split, and quoted breaks are not understood.  ``""`` is an empty text, nothing between delimiters is null.
+    Line breaks inside quotes are part of a value; files larger than a split are read by many tasks all the same (module
+    ``records``; UTF-8 only, other character sets take one task per file).  Without ``multi_line`` quoted breaks are not
+    understood.  ``""`` is an empty text, nothing between delimiters is null.
+
+    A record with more or fewer values than there are columns is an error; with ``ragged="keep"`` it goes, as written, to a
+    column ``_corrupt_record``, beside what fits.  A column gets a type if every value, cast and written again, is what the
+    file says; ``exact=False`` takes numbers for their value (``5`` beside ``2.50``, ``1e-05``, ``TRUE``).  Texts
+    with a year, month and day become timestamps if all do, unless ``promote_dates`` is off.  ``types`` are those of an
+    earlier read: nothing is inferred, and a value that does not fit is an error.
     """
-    reader = (spark.read.option("header", header).option("sep", delimiter)
-              .option("encoding", CHARSETS.get(encoding.lower(), encoding)).option("quote", '"').option("escape", '"')
-              .option("multiLine", multi_line).option("emptyValue", EMPTY))
+    options = {"header": header, "sep": delimiter, "encoding": CHARSETS.get(encoding.lower(), encoding), "quote": '"',
+               "escape": '"', "multiLine": multi_line, "emptyValue": EMPTY}
     if schema is not None:
-        return _with_empty_texts(reader.schema(schema).csv(path))
-    raw = _with_empty_texts(reader.option("inferSchema", False).csv(path))
-    types = infer_types(raw)
-    df = raw.select(*[field(c) if t == "string" else field(c).cast(t).alias(c) for c, t in types.items()])
-    return promote_temporal_columns(df) if promote_dates else df
+        return _with_empty_texts(spark.read.options(**options).schema(schema).csv(path))
+    if ragged not in ("fail", "keep"):
+        raise ValueError(f"ragged is 'fail' or 'keep', not {ragged!r}")
+    raw = _with_empty_texts(_raw_csv(spark, path, options, ragged == "keep"))
+    known = [CORRUPT] if ragged == "keep" else []
+    if types is not None:
+        return raw.select(*[field(f.name).cast(f.dataType).alias(f.name) for f in types], *known)
+    types = infer_types(raw.drop(*known), exact)
+    df = raw.select(*[field(c) if t == "string" else field(c).cast(t).alias(c) for c, t in types.items()], *known)
+    return promote_temporal_columns(df, skip=known) if promote_dates else df
+
+
+def _raw_csv(spark: SparkSession, path: str, options: dict[str, Any], keep_ragged: bool) -> DataFrame:
+    """All values as text.  Files that fit one split go to Spark's reader as they are, larger ones record by record."""
+    mode = {"mode": "PERMISSIVE" if keep_ragged else "FAILFAST", "columnNameOfCorruptRecord": CORRUPT}
+    split = options["multiLine"] and options["encoding"] in ("UTF-8", "utf-8", "US-ASCII") and not one_task_each(spark, path)
+    if not split:
+        names = spark.read.options(**options, inferSchema=False).csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, *[CORRUPT] * keep_ragged]])
+        return spark.read.options(**options, **mode, columnPruning=False).schema(schema).csv(path)
+    names = records.column_names(records.first_record(spark, path, options["sep"]), options["header"])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, *[CORRUPT] * keep_ragged]])
+    rows = records.split_records(spark, path, options["sep"])
+    if options["header"]:
+        rows = rows.where("not first")
+    own = {k: str(v).lower() if isinstance(v, bool) else v for k, v in {**options, **mode}.items() if k not in ("header", "encoding")}
+    parsed = rows.select(F.from_csv("record", _ddl(schema), own).alias("r"))
+    return parsed.select(*[F.col("r")[c].alias(c) for c in schema.names])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` STRING" for name in schema.names)
+
+
+def one_task_each(spark: SparkSession, path: str) -> bool:
+    """Whether every file at ``path`` is smaller than a split (or compressed, so that it cannot be split)."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    limit = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    for name in spark.read.text(path).inputFiles():
+        target = paths(name) if "%" not in name else paths(spark._jvm.java.net.URI(name))
+        if not name.endswith((".gz", ".bz2", ".zst", ".snappy", ".lz4", ".deflate")):
+            if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).getLen() > limit:
+                return False
+    return True
 
 
 def _with_empty_texts(df: DataFrame) -> DataFrame:
@@ -62,22 +113,64 @@ def _with_empty_texts(df: DataFrame) -> DataFrame:
                        if isinstance(f.dataType, T.StringType) else field(f.name) for f in df.schema])
 
 
-# Type tests in the order they are tried on a text column.
-# A number that is written in another way than it would be written back, such as 007, is a code and stays text.
-TYPE_TESTS = {
-    "bigint": lambda c: c.rlike("^(0|-?[1-9][0-9]*)$") & c.try_cast("bigint").isNotNull(),
-    "double": lambda c: ~c.rlike("^[+-]?0[0-9]|^[+]|^\\s|\\s$|[dDfF]$") & c.try_cast("double").isNotNull(),
-    "boolean": lambda c: F.lower(c).isin("true", "false"),
-}
-
-
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """The first type that all present values of a text column can be read as, in one pass over all rows."""
-    row = df.agg(*[F.count_if(field(c).isNotNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
-                 *[F.count_if(test(field(c))).alias(f"{t}{i}")
-                   for i, c in enumerate(df.columns) for t, test in TYPE_TESTS.items()]).first()
-    return {c: next((t for t in TYPE_TESTS if row[f"n{i}"] and row[f"{t}{i}"] == row[f"n{i}"]), "string")
-            for i, c in enumerate(df.columns)}
+# What a task knows of a column, merged over tasks by sums and extremes.  A number counts as an integer or a
+# decimal only if it is written as it would be written back: without sign or zeros in front (007 is a code).
+INTEGER = "^(0|-?[1-9][0-9]*)$"
+DECIMAL = "^-?(0|[1-9][0-9]*)[.][0-9]+$"
+EXPONENT = "^[-]?[0-9]([.][0-9]+)?[eE][-+]?[0-9]+$"
+MOST_DIGITS = 38
+
+
+def _type_state(c: Column) -> dict[str, Column]:
+    integer, decimal = c.rlike(INTEGER), c.rlike(DECIMAL) & ~c.rlike("^-0[.]0*$")
+    digits = F.length(F.regexp_replace(F.split_part(c, F.lit("."), F.lit(1)), "-", ""))
+    scale = F.when(decimal, F.length(F.split_part(c, F.lit("."), F.lit(2))))
+    double = c.try_cast("double")
+    short = F.length(F.regexp_replace(F.regexp_replace(c, "[eE].*$", ""), "^[-.0]+|[.]", "")) <= 15
+    return {
+        "present": F.count(c),
+        "integers": F.count_if(integer), "longs": F.count_if(integer & c.try_cast("bigint").isNotNull()),
+        "decimals": F.count_if(decimal), "digits": F.max(F.when(integer | decimal, digits)),
+        "least_scale": F.min(scale), "scale": F.max(scale),
+        "doubles": F.count_if(double.cast("string") == c), "finite": F.count_if((double.cast("string") == c) & c.rlike("[0-9]")),
+        "values": F.count_if((integer | c.rlike(DECIMAL) | c.rlike(EXPONENT)) & short & double.isNotNull()),
+        "booleans": F.count_if(c.isin("true", "false")), "flags": F.count_if(F.lower(c).isin("true", "false")),
+    }
+
+
+def type_of(state: dict[str, Any], exact: bool = True) -> str:
+    """The narrowest type that keeps every value of a column, by its state: the types form a lattice, text at its top."""
+    n = state["present"]
+    digits, scale = state["digits"] or 0, state["scale"] or 0
+    if not n:
+        return "string"
+    if state["longs"] == n:
+        return "bigint"
+    if state["integers"] == n:
+        return f"decimal({digits},0)" if digits <= MOST_DIGITS else "string"
+    if state["doubles"] == n and state["finite"]:
+        return "double"
+    if state["decimals"] == n and state["least_scale"] == scale and digits + scale <= MOST_DIGITS:
+        return f"decimal({digits + scale},{scale})"
+    if state["booleans"] == n:
+        return "boolean"
+    if not exact:
+        if state["values"] == n:
+            return "double"
+        if state["decimals"] + state["integers"] == n and digits + scale <= MOST_DIGITS:
+            return f"decimal({digits + scale},{scale})"
+        if state["flags"] == n:
+            return "boolean"
+    return "string"
+
+
+def infer_types(df: DataFrame, exact: bool = True) -> dict[str, str]:
+    """The type of every text column, from the states of all rows in one pass."""
+    if not df.columns:
+        return {}
+    states = {c: _type_state(field(c)) for c in df.columns}
+    row = df.agg(*[m.alias(f"{name}{i}") for i, s in enumerate(states.values()) for name, m in s.items()]).first()
+    return {c: type_of({name: row[f"{name}{i}"] for name in s}, exact) for i, (c, s) in enumerate(states.items())}
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +207,7 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options: Any)
     if fmt == "parquet":
         return scan_parquet(spark, path)
     if fmt in ("json", "jsonl"):
-        return scan_json(spark, path, lines=True if fmt == "jsonl" else options.get("lines"))
+        return scan_json(spark, path, lines=True if fmt == "jsonl" else options.get("lines"), schema=options.get("types"))
     raise UnsupportedFormatError(f"unsupported format {fmt!r}")
 
 
@@ -125,7 +218,7 @@ def load_columnar(spark: SparkSession, path: str, fmt: str | None = None, **opti
     """
     fmt = fmt or format_of(path)
     df = load(spark, path, fmt, **options)
-    if fmt == "parquet":
+    if fmt == "parquet" or not df.columns:
         return df
     staged = scratch_path(spark, "columnar")
     df.write.parquet(staged)

@@ -88,3 +88,59 @@ def test_detect_only(spark, tmp_path):
     batch = spark.createDataFrame([(1, "x.csv")], "id int, __file string")
     ingest.ingest_batch(batch, 0, store, log, "csv", auto_ingest=False)
     assert [r["state"] for r in log.read().collect()] == ["detected"]
+
+
+def test_files_without_rows_and_with_blanks(spark, tmp_path):
+    folder, root, archive = tmp_path / "in", str(tmp_path / "root"), tmp_path / "done"
+    _drop(folder, "no byte.csv", "")
+    _drop(folder, "header only.csv", "id,v\n")
+    _drop(folder, "two rows%20.csv", "id,code\n1,007\n2,1.10\n")
+    for _ in range(2):
+        log = ingest.stream_ingest_now(spark, str(folder), "csv", root, archive_dir=str(archive))
+        done = {r["dataset"]: (r["row_count"], r["column_count"]) for r in log.where("state = 'succeeded'").collect()}
+        assert done == {"no byte": (0, 0), "header only": (0, 2), "two rows%20": (2, 2)}
+        assert log.where("state = 'failed'").isEmpty() and log.where("state = 'succeeded'").count() == 3
+    assert not list(folder.iterdir()) and len([p for p in archive.iterdir() if p.suffix == ".csv"]) == 3
+    store = VersionStore(spark, root)
+    assert {r["code"] for r in store.version_read("two rows%20").collect()} == {"007", "1.10"}
+
+
+def test_archive_keeps_files_of_one_name(spark, tmp_path):
+    for text in ("id\n5\n", "id\n6\n"):
+        _drop(tmp_path / "in", "a b.csv", text)
+        ingest.archive_file(spark, str(tmp_path / "in" / "a b.csv"), str(tmp_path / "done"))
+    kept = [p for p in (tmp_path / "done").iterdir() if p.suffix == ".csv"]
+    assert sorted(p.read_text() for p in kept) == ["id\n5\n", "id\n6\n"]
+    again = ingest.archive_file(spark, str(tmp_path / "in" / "a b.csv"), str(tmp_path / "done"))  # replayed
+    assert again.endswith("/done/a b.csv")
+
+
+def test_event_log_of_a_thousand_events(spark, tmp_path, monkeypatch):
+    from tablewright.plans import eventlog
+    schema = spark.createDataFrame([], "name string, at timestamp, n bigint").schema
+    log = eventlog.EventLog(spark, str(tmp_path / "log"), schema)
+    assert log.read().count() == 0 and log.files() == []
+    monkeypatch.setattr(eventlog, "SNAPSHOT_EVERY", 25)
+    for i in range(100):
+        events = [{"name": f"e{10 * i + k}", "at": "2024-01-02T03:04:05.123456+00:00", "n": k} for k in range(10)]
+        assert log.append(events) == i
+    assert len(log.files()) <= 5 and len(list((tmp_path / "log").glob("*.json"))) <= 50
+    late = eventlog.EventLog(spark, str(tmp_path / "log"), schema)
+    late._next = 3  # a number that has been compacted away
+    assert late.append([]) == 100 and log.append([]) == 101
+    log.append([{"name": "x", "n": -1}, {"name": "y", "n": -2}])
+    rows = log.read().orderBy("commit", "seq").collect()
+    assert [r["name"] for r in rows] == [f"e{i}" for i in range(1000)] + ["x", "y"]
+    assert rows[0]["at"].microsecond == 123456 and (rows[-1]["commit"], rows[-1]["seq"]) == (102, 1)
+
+
+def test_two_writers_never_take_one_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from tablewright.plans.eventlog import EventLog
+    schema = spark.createDataFrame([], "writer int, n int").schema
+    logs = [EventLog(spark, str(tmp_path / "log"), schema) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: [logs[k].append([{"writer": k, "n": i}]) for i in range(15)], range(4)))
+    taken = [n for own in numbers for n in own]
+    assert sorted(taken) == list(range(60))
+    assert {(r["writer"], r["n"]) for r in logs[0].read().collect()} == {(k, i) for k in range(4) for i in range(15)}

@@ -264,6 +264,29 @@ def test_sample_changes(spark):
     assert got[3] == ("added", [("t", None, "w")])
 
 
+def test_changes_of_a_key_with_several_rows(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "b", 2), (None, "x", 1)], "k int, t string, n int")
+    new = spark.createDataFrame([(1, "a", 1), (1, "c", 1), (2, "a", 2), (2, "b", 1), (None, "y", 1)], "k int, t string, n int")
+    got = {r["k"]: (r["change"], [tuple(c) for c in r["changes"]]) for r in D.sample_changes(old, new, ["k"]).collect()}
+    assert got == {1: ("modified", [("t", "b", "c")]), None: ("modified", [("t", "x", "y")]),
+                   2: ("modified", [(None, '{"t":"a","n":1}', '{"t":"a","n":2}')])}
+
+
+def test_types_stay_with_a_version(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("id,code,day\n1,1.10,2024-01-02\n")
+    store = VersionStore(spark, str(tmp_path / "store"))
+    store.version_create_raw("x", str(path))
+    kinds = ["bigint", "decimal(3,2)", "timestamp"]
+    assert [f.dataType.simpleString() for f in store.version_read("x").schema] == kinds
+    path.write_text("id,code,day\n2,2.20,2024-02-03\n")
+    store.version_apply("x", [{"transform_type": "select_columns", "parameters": {"columns": ["id", "code"]}}], "Profiled")
+    assert [f.dataType.simpleString() for f in store.version_read("x").schema] == kinds[:2]
+    path.write_text("id,code,day\nlate,2.20,2024-02-03\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        store.version_read("x").collect()
+
+
 def test_diff_of_equal_tables_is_empty(spark, people):
     same = diff_tables(people, people.orderBy(F.desc("id")), ["id"])
     assert not same.has_changes()
