@@ -96,16 +96,21 @@ def ml_split(df: DataFrame, order_by: Sequence[str] | None = None,
             placed.where(F.col("__position") >= cut).drop("__position"))
 
 
-def ml_class_check(df: DataFrame, target: str) -> int:
-    """Number of classes; fewer than two is an error.  Null is no class."""
+MOST_CLASSES = 1_000  # a model and its label index grow with them
+
+
+def ml_class_check(df: DataFrame, target: str, most: int | None = None) -> int:
+    """Number of classes; fewer than two is an error, and so are more than ``most``.  Null is no class."""
     n = df.agg(F.count_distinct(A.field(target))).first()[0]
     if n < 2:
         raise ModelError(f"classification needs at least two classes in {target!r}, found {n}")
+    if most is not None and n > most:
+        raise ModelError(f"{target!r} has {n} classes, more than {most}")
     return n
 
 
 def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] | None = None,
-                exclude: Sequence[str] = (), refuse_gaps: bool = False) -> ModelResult:
+                exclude: Sequence[str] = (), refuse_gaps: bool = False, most_classes: int = MOST_CLASSES) -> ModelResult:
     """Train on the first 80 % and score on the rest.  Rows that lack a feature are left out and counted in the result,
     or refused."""
     if kind not in MODEL_KINDS:
@@ -114,7 +119,7 @@ def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] |
     keys = list(order_by or [])
     rows, names = ml_features(df, target, keep=keys, exclude=exclude)
     if kind != "linear_regression":
-        ml_class_check(rows, target)
+        ml_class_check(rows, target, most_classes)
     gaps = reduce(or_, (A.field(c).isNull() | F.isnan(A.field(c)) for c in names))
     skipped = rows.agg(F.count_if(gaps)).first()[0]
     if skipped and refuse_gaps:
@@ -156,9 +161,9 @@ def train_model(df: DataFrame, kind: str, target: str, order_by: Sequence[str] |
 def result_table(df: DataFrame, result: ModelResult) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [(result.kind, result.target, result.features, result.r2, result.mse, result.accuracy,
-          result.coefficients, result.intercept)],
+          result.coefficients, result.intercept, result.rows_with_gaps)],
         "kind string, target string, features array<string>, r2 double, mse double, "
-        "accuracy double, coefficients map<string,double>, intercept double")
+        "accuracy double, coefficients map<string,double>, intercept double, rows_with_gaps bigint")
 
 
 def target_suitability(profile: DataFrame) -> DataFrame:

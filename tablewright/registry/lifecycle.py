@@ -407,6 +407,31 @@ def ml_decision_tree(spark, sf):
         "kind", "target", "accuracy")
 
 
+# Classes by a rule that a feature shows, but for a tenth of the keys; gaps in the feature.
+_RULE = """
+WITH o AS (SELECT l_orderkey AS k, l_orderkey % 7 = 3 AS gap,
+                  row_number() OVER (ORDER BY l_orderkey) AS r, count(*) OVER () AS n FROM lineitem),
+cut AS (SELECT max(k) AS edge FROM o WHERE r <= floor(n * 0.8))
+SELECT '{kind}' AS kind, round(avg(CASE WHEN k % 10 <> 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE k > edge AND NOT gap), 2) AS accuracy,
+       CAST(count(*) FILTER (WHERE gap) AS BIGINT) AS rows_with_gaps FROM o CROSS JOIN cut"""
+
+
+def _by_rule(kind):
+    @query(f"ml_{kind}_rule", _RULE.replace("{kind}", kind))
+    def run(spark, sf):
+        many = F.col("l_linenumber") > 3
+        df = table(spark, sf, "lineitem").select(
+            "l_orderkey", F.when(F.col("l_orderkey") % 7 != 3, many.cast("int")).alias("shown"),
+            F.when(many != (F.col("l_orderkey") % 10 == 0), "many").otherwise("few").alias("size"))
+        found = M.train_model(df, kind, "size", ["l_orderkey"], exclude=["l_orderkey"])
+        return rounded(M.result_table(df, found), 2, "accuracy").select("kind", "accuracy", "rows_with_gaps")
+    return run
+
+
+_by_rule("logistic_regression")
+_by_rule("decision_tree")
+
+
 @query("ml_target_suitability", """
 SELECT 'event_id' AS name, true AS linear_regression, false AS logistic_regression, false AS decision_tree
 UNION ALL SELECT 'ts', false, false, false UNION ALL SELECT 'user_id', true, false, false

@@ -22,6 +22,15 @@ def test_classifiers(spark, kind):
     assert M.train_model(df, kind, "y", ["id"], exclude=["id"]).accuracy > 0.9
 
 
+def test_classes_are_bounded_and_gaps_are_told(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 6 != 1, F.col("id") % 3).cast("double").alias("x"),
+                                (F.col("id") % 3).cast("string").alias("y"))
+    with pytest.raises(M.ModelError, match="3 classes"):
+        M.train_model(df, "decision_tree", "y", ["id"], exclude=["id"], most_classes=2)
+    got = M.result_table(df, M.train_model(df, "decision_tree", "y", ["id"], exclude=["id"])).first()
+    assert got["rows_with_gaps"] == 10 and got["accuracy"] == 1.0
+
+
 def test_class_check_and_features(spark):
     df = spark.createDataFrame([(1.0, 0, "a"), (2.0, None, "b")], "x double, y int, t string")
     with pytest.raises(M.ModelError):
