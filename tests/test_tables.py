@@ -264,6 +264,15 @@ def test_sample_changes(spark):
     assert got[3] == ("added", [("t", None, "w")])
 
 
+def test_quarantine_refuses_rules_on_the_whole_table(spark):
+    from tablewright.operators import rules as R
+    df = spark.range(5)
+    good, bad = R.quarantine(df, [R.custom_condition("id > 2")])
+    assert (good.count(), bad.count()) == (2, 3)
+    with pytest.raises(ValueError, match="no single row"):
+        R.quarantine(df, [R.custom_condition("id > 2"), R.no_duplicates("id")])
+
+
 def test_changes_of_a_key_with_several_rows(spark):
     old = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "b", 2), (None, "x", 1)], "k int, t string, n int")
     new = spark.createDataFrame([(1, "a", 1), (1, "c", 1), (2, "a", 2), (2, "b", 1), (None, "y", 1)], "k int, t string, n int")
