@@ -53,3 +53,28 @@ def test_changes_are_found_in_their_range(spark, tmp_path):
     path.unlink()
     assert manifest.manifest_verify(spark, str(path)).first()["missing"] == 1
     assert {r.status for r in manifest.changed_ranges(spark, str(path)).collect()} == {"missing"}
+
+
+def test_joined_hash_is_that_of_one_file(spark, tmp_path):
+    draw = random.Random(2)
+    parts = {f"part-{i:05d}": draw.randbytes(n) for i, n in enumerate((5, 3_000_000, 0, 77))}
+    for name in reversed(parts):
+        (tmp_path / name).write_bytes(parts[name])
+    whole = b"".join(parts.values())
+    assert [tuple(r) for r in manifest.joined_hash(spark, str(tmp_path)).collect()] == [
+        (len(whole), hashlib.sha256(whole).hexdigest())]
+
+
+@pytest.mark.parametrize("n", [0, 3000])
+def test_text_of_orders_has_one_hash(spark, tmp_path, n):
+    """One hash of all lines, as the SQL has it, whatever the number of parts; keys and values may be null."""
+    import duckdb
+    from tablewright.registry import load_all
+    draw = random.Random(3)
+    rows = [(i * 7 % 40_009, draw.choice(["1-URGENT", "5-LOW", None])) for i in range(n)] + [(None, "2-HIGH")] * (n > 0)
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderpriority string").repartition(7).write.parquet(str(tmp_path / "orders.parquet"))
+    queries, oracles = load_all()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = [tuple(r) for r in queries["file_hash_text"](spark, str(tmp_path)).collect()]
+    assert len(got) == 1 and got == db.execute(oracles["file_hash_text"]).fetchall()
