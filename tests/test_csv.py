@@ -203,3 +203,22 @@ def test_lattice_by_python(values):
         assert all(str(int(v)) == v for v in values)
     else:
         assert kind == "string"
+
+
+def test_large_files_are_parsed_once(spark, tmp_path, small_ranges):
+    """Types and values come from stored records: no later pass cuts the file again."""
+    rows = rows_of_texts(8, 60)
+    write(tmp_path / "x.csv", rows, header=("i", "a", "A", "c"))
+    df = files.scan_csv(spark, str(tmp_path / "x.csv"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "from_csv" not in plan
+    assert df.columns == ["i", "a1", "A2", "c"]
+    assert sorted(map(tuple, df.collect())) == sorted((int(r[0]), *r[1:]) for r in rows)
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_states_of_odd_numbers(spark, exact):
+    values = ["007", "1.50", "1.0E10", "1e-05", "FALSE", "+5", "text 5"]
+    df = spark.createDataFrame([tuple(values)], [f"c{i}" for i in range(len(values))])
+    assert list(files.infer_types(df, exact).values()) == [
+        "string", "decimal(3,2)", "double", *(["string"] * 2 if exact else ["double", "boolean"]), "string", "string"]
