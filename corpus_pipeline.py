@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 language    documents that are in no learned language go
-copies      of documents that are near-duplicates (similarity of five-word shingles 0.8 or more), the one with the
-            smallest id stays
+copies      of documents that are near-duplicates (fingerprints that differ in at most four bits, as in op2, or a
+            similarity of five-word shingles of 0.8 or more), the one with the smallest id stays
 secrets     secrets in the texts are replaced
 mixture     sources are drawn to tempered weights; a document of a small source may come twice, one of a large source
             may be left out
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, common, language, minhash, mixing, secrets
+from tablewright.llm import bpe, common, language, minhash, mixing, secrets, simhash
+from tablewright.llm.components import components
 from tablewright.session import scratch_path
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,7 +31,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    """Both kinds of links lead on from one document to the next, so their components are joined before any document goes."""
+    common.small_batches(spark)
+    found = [near(docs).where("doc_id <> component_id").select(
+        F.col("doc_id").cast("bigint").alias("u"), F.col("component_id").alias("v"))
+        for near in (simhash.near_duplicates, minhash.near_duplicates)]
+    links = common.stored(found[0].union(found[1]).distinct(), "near")
+    gone = common.stored(components(links).where("node <> component").select(F.col("node").alias("__gone")), "gone")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,3 +143,19 @@ def test_ids_that_are_null_or_repeat(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(empty).count() == 0 and minhash.one_of_each(empty).count() == 0
+
+
+def test_pipeline_stage_follows_fingerprints_too(spark):
+    """Texts within four bits of op2's fingerprints are copies, also where a few words differ that five-word sets make much
+    of; links of both kinds lead on."""
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randint(0, 10**6)}"
+    often = " ".join(word() for _ in range(12))
+    tails = [" ".join(word() for _ in range(6)) for _ in range(2)]
+    own = [f"{' '.join([often] * 80)} {tail}" for tail in tails]
+    plain = [" ".join(word() for _ in range(80)) for _ in range(2)]
+    rows = [(5, own[0]), (3, own[1]), (9, own[0]), (8, plain[0]), (2, plain[1]), (1, plain[0]), (None, plain[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not [link for link in plain_links(range(2), own)]
+    left = sorted((r.doc_id is None, r.doc_id) for r in corpus_pipeline.copies_stage(spark, df, "").collect())
+    assert left == [(False, 1), (False, 2), (False, 3), (True, None)]
