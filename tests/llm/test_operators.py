@@ -570,3 +570,10 @@ def test_empty_tables(spark, empty):
                  simhash.one_of_each(empty), sharding.shard(empty), repeats.remove_repeats(empty), secrets.scan(empty),
                  secrets.redact(empty), embeddings.near_duplicates(vectors), quality.judge(empty)):
         assert made.count() == 0
+
+
+def test_repeats_pass_texts_by_the_thousand(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    repeats.remove_repeats(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id bigint, text string"))
+    assert int(spark.conf.get(key)) == common.TEXTS_PER_BATCH
