@@ -3,7 +3,9 @@
 Texts are lower-cased, everything but letters and marks becomes one blank (the last word has one too), and the bigrams and
 trigrams of what is left are hashed into a fixed number of buckets.  Training counts buckets per language in the tasks and adds the counts up by
 slices; the model is a matrix of log-probabilities, as large as languages times buckets, and goes to the tasks as a
-broadcast.  A text's score is the sparse product of its n-gram counts with that matrix, computed batch by batch.
+broadcast.  A text's score is the sparse product of its n-gram counts with that matrix, computed piece by piece and
+language by language: beside the model, a task holds about half a megabyte of text (one text at least) and some 40 bytes for each
+of its characters, however many languages there are.
 
 ``train`` takes at most about ``per_language`` texts of each language (a share of them chosen by a hash of the id);
 that bound is a parameter.  Scoring covers every row and the whole text.
@@ -37,7 +39,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    log_prob: np.ndarray  # (BUCKETS + 1, languages); the last row is zero and stands for "no n-gram"
+    log_prob: np.ndarray  # (languages, BUCKETS + 1); the last column is zero and stands for "no n-gram"
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +121,7 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     if len(rows) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not rows:
-        return Model((), np.zeros((BUCKETS + 1, 0)))
+        return Model((), np.zeros((0, BUCKETS + 1)))
     share = F.lit(0.0)
     for row in rows:
         share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["count"])).otherwise(share)
@@ -133,7 +135,13 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         table[languages.index(row["lang"]), row["slice"] * SLICE:(row["slice"] + 1) * SLICE] = \
             np.frombuffer(row["counts"], np.int64)
     table = np.log(table + SMOOTHING) - np.log(table.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
-    return Model(languages, np.vstack([table.T, np.zeros((1, len(languages)))]))
+    return Model(languages, np.hstack([table, np.zeros((len(languages), 1))]))
+
+
+def _likely(buckets: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
+    """The sum of log-probabilities by text and language.  A language at a time, so that what is gathered does not grow with
+    the number of languages."""
+    return np.stack([np.add.reduceat(row.take(buckets), starts) for row in model.log_prob], 1)
 
 
 def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -144,8 +152,7 @@ def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray,
     k = len(model.languages)
     if not k:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-    likely = np.add.reduceat(model.log_prob.take(pair, axis=0), at[:-1]) + \
-        np.add.reduceat(model.log_prob.take(triple, axis=0), at[:-1])
+    likely = _likely(pair, at[:-1], model) + _likely(triple, at[:-1], model)
     best = likely.argmax(1)
     top = likely.max(1)
     score = 1 / np.exp(likely - top[:, None]).sum(1)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -426,6 +427,25 @@ def test_language_by_brute_force(docs):
     assert [got[n + i][0] == "und" for i in range(8)] == [False, False, True, True, False, True, True, True]
 
 
+def test_language_memory_does_not_grow_with_languages(spark):
+    """Scoring a piece of text takes as much with 40 languages as with two."""
+    rng = random.Random(3)
+    texts = ["some words of a text " * 2000, "", "other words"]
+    peaks = []
+    for k in (2, 40):
+        learn = [("".join(rng.choices("abcdehmorstwx ", k=300)), f"l{i:03d}") for i in range(k)]
+        model = language.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(learn)],
+                                                     "doc_id int, text string, lang string"))
+        language.score_texts(texts, model)
+        tracemalloc.start()
+        lang, score, _ = language.score_texts(texts, model)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for i, (want, probability) in enumerate(plain_bayes(learn, texts)):
+            assert lang[i] == want and abs(score[i] - probability) < 1e-6
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_keep_identified_on_odd_rows(docs, edge):
     kept = language.keep_identified(edge, language.train(docs))
     assert kept.dtypes == edge.dtypes
