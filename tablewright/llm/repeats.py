@@ -5,11 +5,12 @@ bytes has an anchor: the smallest hash among its pieces of ``PIECE`` bytes, left
 anchors at the same place, so all suffixes that share ``length`` bytes meet if suffixes are dealt out by the hash of their
 anchor.  Windows next to each other mostly share an anchor; they travel as one segment of fewer than twice ``length`` bytes.
 
-1. Documents are packed into compressed blocks of about a megabyte and stored, with a digest of each text.  Whole texts
-   that occur again are found by digest: the later document is one span from its begin to its end.
-2. Each block sends the distinct hashes of its anchors to buckets, with 64 bits of the digest of the text; a bucket
-   answers each block with one bit per hash: whether another text has it too.  All else is unique, or a copy of a whole
-   document, and stays where it is.
+1. Documents are packed into compressed blocks of a few megabytes and stored, with a digest of each text.  Whole texts
+   that occur again are found by digest: the later document is one span from its begin to its end, and the document with
+   the smallest id stands for all of them from here on.
+2. Each block sends the distinct hashes of its anchors to buckets, with one bit: whether several of its texts have it; a
+   bucket answers each block with one bit per hash: whether another text has it too.  All else is unique, and stays
+   where it is.
 3. Blocks send the segments of the anchors that are left, each different segment once, with its places and its smallest
    document.  A bucket sorts the suffixes of all segments (the suffix array), takes the common prefixes of neighbours, and
    scans them with a stack for the intervals of the common-prefix tree.  An interval whose suffixes are preceded by
@@ -18,7 +19,9 @@ anchor.  Windows next to each other mostly share an anchor; they travel as one s
    occurs whole is its own maximal group and needs no sorting.
 4. The groups' places go back to the blocks, and a byte goes if a group covers it whose smallest document is smaller.
 
-A passage that fills a third of all documents costs one segment per block.  Matches never cross documents.
+A passage that fills a third of all documents costs one segment per block.  Matches never cross documents.  Blocks and
+buckets exchange a row per pair, so what a row takes by itself has to be small: nothing goes over all of a block or of a
+bucket once per row.
 
 Edge cases: a null text counts as empty.  Rows of equal id do not remove from each other.  A row without id removes from
 no other and loses what any document with id has.  Empty tables give empty tables; columns other than id and text are
@@ -42,7 +45,7 @@ from tablewright.llm import common
 
 LENGTH = 50
 PIECE = 24
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
 CHUNK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,10 +89,9 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         offsets = np.asarray(offsets, np.int64)
         digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-        words = np.frombuffer(b"".join(digests), np.uint64)[::2]
         return pa.RecordBatch.from_arrays(
             [pa.array([number], pa.int64()),
-             pa.array([_pack([ids.astype(np.int64), null.astype(np.int64), offsets, words, data])], pa.binary()),
+             pa.array([_pack([ids.astype(np.int64), null.astype(np.int64), offsets, data])], pa.binary()),
              pa.array([[{"id": i, "digest": d, "begin": b, "size": n} for i, d, b, n in zip(
                  ids.tolist(), digests, offsets.tolist(), np.diff(offsets).tolist())]], pa.list_(_TEXT))],
             ["block", "content", "texts"])
@@ -109,10 +111,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     """Start, end (exclusive, in ``data``) and anchor hash of the segments of all windows; texts are not crossed."""
     starts, ends, hashes = [], [], []
     # Texts of ``length`` bytes or more, taken in chunks of windows.
-    valid = np.zeros(len(data) + 1, np.int32)
-    for sign, at in ((1, offsets[:-1]), (-1, np.maximum(offsets[1:] - length + 1, offsets[:-1]))):
-        np.add.at(valid, at, sign)
-    valid = np.cumsum(valid[:-1]) > 0
+    sizes = np.diff(offsets)
+    windows = np.maximum(sizes - length + 1, 0)
+    valid = np.repeat(np.tile([True, False], len(sizes)), np.stack([windows, sizes - windows], 1).ravel())
     for low in range(0, len(data) - length + 1, CHUNK):
         high = min(low + CHUNK, len(data) - length + 1)
         anchor = _anchors(data[low:high + length - 1], length)
@@ -161,67 +162,79 @@ def _anchors(data: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
-def _distinct(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashes, the digest of a text that each is in, and whether another text has it; in the order of that
-    text and the hash, so that digests are in runs."""
-    order = np.lexsort((words, hashes))
-    hashes, words = hashes[order], words[order]
+def _own_segments(data: np.ndarray, offsets: np.ndarray, copies: list[dict] | None, length: int) -> tuple[np.ndarray, ...]:
+    """The segments of all texts that do not copy a whole other one, and the text of each."""
+    start, end, hashes = segments(data, offsets, length)
+    text = np.searchsorted(offsets, start, "right") - 1
+    if not copies:
+        return start, end, hashes, text
+    copied = np.zeros(len(offsets), bool)
+    copied[np.searchsorted(offsets, [c["begin"] for c in copies], "right") - 1] = True
+    own = ~copied[text]
+    return start[own], end[own], hashes[own], text[own]
+
+
+def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and whether more than one text has each."""
+    both = np.sort(hashes << np.uint64(24) | text.astype(np.uint64))
+    hashes = both >> np.uint64(24)
     first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][:len(hashes)])
     last = np.r_[first[1:], len(hashes)][:len(first)] - 1
-    order = np.lexsort((hashes[first], words[first]))
-    return hashes[first][order], words[first][order], (words[first] != words[last])[order]
+    return hashes[first], both[first] != both[last]
+
+
+def _dealt(key: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The values of ``key`` and the rows of each, in one sort."""
+    order = np.argsort(key, kind="stable")
+    values, first = np.unique(key[order], return_index=True)
+    return list(zip(values.tolist(), np.split(order, first[1:])))
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``begin``, ``begin`` + 1 and so on, ``count`` of them, row behind row."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def _hash_lists(buckets: int, length: int):
-    """Per block and bucket: the distinct anchor hashes with the texts they are in."""
+    """Per block and bucket: the distinct anchor hashes."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, _, offsets, words, data = _unpack(content.as_buffer())
-                start, _, hashes = segments(data, offsets, length)
-                distinct, word, shared = _distinct(hashes, words[np.searchsorted(offsets, start, "right") - 1])
-                bucket = (distinct % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                own = [order[cuts[b]:cuts[b + 1]] for b in full]
-                blobs = [_narrow(distinct[o], word[o], shared[o]) for o in own]
+            for block, content, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                _, _, offsets, data = _unpack(content.as_buffer())
+                _, _, hashes, text = _own_segments(data, offsets, copies, length)
+                distinct, shared = _distinct(hashes, text)
+                dealt = _dealt((distinct % np.uint64(buckets)).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())],
+                    [pa.array([b for b, _ in dealt], pa.int32()), pa.array([block] * len(dealt), pa.int64()),
+                     pa.array([_narrow(distinct[own], shared[own]) for _, own in dealt], pa.binary())],
                     ["bucket", "block", "hashes"])
     return each
 
 
-def _narrow(hashes: np.ndarray, words: np.ndarray, shared: np.ndarray) -> bytes:
-    """40-bit hashes in five bytes each, in columns; one bit each; then the runs of digests."""
+def _narrow(hashes: np.ndarray, shared: np.ndarray) -> bytes:
+    """40-bit hashes in five bytes each, in columns; then one bit each."""
     wide = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    return (struct.pack("<ii", len(hashes), len(first)) + np.ascontiguousarray(wide.T).tobytes() + np.packbits(shared).tobytes()
-            + words[first].tobytes() + np.diff(np.r_[first, len(words)]).astype("<u4").tobytes())
+    return struct.pack("<i", len(hashes)) + wide.T.tobytes() + np.packbits(shared).tobytes()
 
 
-def _wide(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, runs = struct.unpack_from("<ii", blob)
+def _wide(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, = struct.unpack_from("<i", blob)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 8).reshape(5, n).T
-    at = 8 + 5 * n
-    shared = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), at))[:n].astype(bool)
-    at += -(-n // 8)
-    words = np.frombuffer(blob, "<u8", runs, at)
-    return out.view("<u8").ravel(), np.repeat(words, np.frombuffer(blob, "<u4", runs, at + 8 * runs)), shared
+    out[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(5, n).T
+    return out.view("<u8").ravel(), np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), 4 + 5 * n), count=n).astype(bool)
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """One bit per hash of every block: more than one text has it."""
+    """One bit per hash of every block: more than one text has it.  A block names a hash once."""
     lists = [_wide(b) for b in table.column("hashes").to_pylist()]
     sizes = [len(x[0]) for x in lists]
-    every, words, shared = (np.concatenate([x[i] for x in lists]) for i in range(3))
+    every, shared = (np.concatenate([x[i] for x in lists]) for i in range(2))
     order = np.argsort(every, kind="stable")
-    ranked, words = every[order], words[order]
+    ranked = every[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    often = (np.minimum.reduceat(words, first) != np.maximum.reduceat(words, first)) | np.logical_or.reduceat(shared[order], first)
+    times = np.diff(np.r_[first, len(ranked)])
     hit = np.empty(len(every), bool)
-    hit[order] = np.repeat(often, np.diff(np.r_[first, len(ranked)]))
+    hit[order] = np.repeat((times > 1) | np.logical_or.reduceat(shared[order], first), times)
     cuts = np.cumsum([0, *sizes])
     bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
@@ -233,39 +246,38 @@ def _send(buckets: int, length: int):
     """Per block and bucket: the different segments whose anchor another document has too."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, content, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                ids, _, offsets, words, data = _unpack(content.as_buffer())
-                start, end, hashes = segments(data, offsets, length)
-                distinct, _, _ = _distinct(hashes, words[np.searchsorted(offsets, start, "right") - 1])
-                bucket = (distinct % np.uint64(buckets)).astype(np.int64)
+            for block, content, copies, answers in zip(batch.column(0).to_pylist(), batch.column(1),
+                                                       batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                ids, _, offsets, data = _unpack(content.as_buffer())
+                start, end, hashes, in_text = _own_segments(data, offsets, copies, length)
+                distinct, _ = _distinct(hashes, in_text)
+                bits = {answer["bucket"]: answer["bits"] for answer in answers or []}
                 kept = np.zeros(len(distinct), bool)
-                for answer in answers or []:
-                    own = np.flatnonzero(bucket == answer["bucket"])
-                    kept[own] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8))[:len(own)]
-                use = np.isin(hashes, distinct[kept])
-                start, size, hashes = start[use], (end - start)[use], hashes[use]
+                for b, own in _dealt((distinct % np.uint64(buckets)).astype(np.int64)):
+                    kept[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(own))
+                use = kept[np.searchsorted(distinct, hashes)]
+                start, size, hashes, in_text = start[use], (end - start)[use], hashes[use], in_text[use]
                 if not len(start):
                     continue
-                owner = ids[np.searchsorted(offsets, start, "right") - 1]
-                text = _rows(data, start, size, 2 * length - PIECE)
-                digest = _digest(text)
+                owner = ids[in_text]
+                digest = _digest(_rows(data, start, size, 2 * length - PIECE))
                 order = np.lexsort((owner, digest, size, hashes))
                 start, size, hashes, owner, digest = (x[order] for x in (start, size, hashes, owner, digest))
                 new = np.r_[True, (hashes[1:] != hashes[:-1]) | (size[1:] != size[:-1]) | (digest[1:] != digest[:-1])]
                 first = np.flatnonzero(new)
-                bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
                 count = np.diff(np.r_[first, len(start)])
                 largest = np.maximum.reduceat(owner, first)
-                for b in np.unique(bucket):
-                    own = np.flatnonzero(bucket == b)
+                dealt = _dealt((hashes[first] % np.uint64(buckets)).astype(np.int64))
+                blobs = []
+                for _, own in dealt:
                     rows = first[own]
-                    places = np.concatenate([start[i:i + n] for i, n in zip(rows, count[own])])
-                    blob = _pack([hashes[rows], size[rows].astype(np.int16), owner[rows], largest[own],
-                                  count[own].astype(np.int32), places.astype(np.int32 if len(data) < 1 << 31 else np.int64),
-                                  np.concatenate([data[start[i]:start[i] + size[i]] for i in rows])])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([blob], pa.binary())],
-                        ["bucket", "block", "segments"])
+                    places = start[_spread(rows, count[own])]
+                    blobs.append(_pack([hashes[rows], size[rows].astype(np.int16), owner[rows], largest[own],
+                                        count[own].astype(np.int32), places.astype(np.int32 if len(data) < 1 << 31 else np.int64),
+                                        data[_spread(start[rows], size[rows])]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in dealt], pa.int32()), pa.array([block] * len(dealt), pa.int64()),
+                     pa.array(blobs, pa.binary())], ["bucket", "block", "segments"])
     return each
 
 
@@ -274,10 +286,10 @@ def _rows(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) ->
     width = -(-width // 8) * 8
     out = np.empty((len(start), width // 8), np.uint64)
     columns = np.arange(width)
+    every = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(width, np.uint8)], width)
     for i in range(0, len(start), CHUNK >> 4):
         part = slice(i, i + (CHUNK >> 4))
-        at = np.minimum(start[part, None] + columns, len(data) - 1)
-        out[part] = np.where(columns < size[part, None], data[at], 0).astype(np.uint8).view(">u8")
+        out[part] = np.where(columns < size[part, None], every[start[part]], np.uint8(0)).view(">u8")
     return out
 
 
@@ -389,19 +401,16 @@ def _groups(length: int):
         low, high = np.searchsorted(member, kind), np.searchsorted(member, kind, "right")
         times = high - low
         segment = np.repeat(np.arange(len(kind)), times)
-        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+        entry = _spread(low, times)
         use = document[entry] < most[segment]
         segment, entry = segment[use], entry[use]
         times = count[segment].astype(np.int64)
-        spot = np.repeat(place_at[segment], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        begin = places[spot] + np.repeat(offset[entry], times)
-        owner = np.repeat(block[segment], times)
+        begin = places[_spread(place_at[segment], times)] + np.repeat(offset[entry], times)
+        entry = np.repeat(entry, times)
         blobs, back = [], []
-        for b in np.unique(owner):
-            own = owner == b
+        for b, own in _dealt(np.repeat(block[segment], times)):
             back.append(blocks[b])
-            blobs.append(_pack([begin[own], np.repeat(reach[entry], times)[own].astype(np.int16),
-                                np.repeat(document[entry], times)[own]]))
+            blobs.append(_pack([begin[own], reach[entry[own]].astype(np.int16), document[entry[own]]]))
         return pa.table({"block": pa.array(back, pa.int64()), "spans": pa.array(blobs, pa.binary())})
     return settle
 
@@ -411,7 +420,7 @@ def _groups(length: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content, spans, copies in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            ids, null, offsets, _, data = _unpack(content.as_buffer())
+            ids, null, offsets, data = _unpack(content.as_buffer())
             lists = [_unpack(s) for s in spans or []]
             lists += [np.array([[c["begin"], c["size"], c["least"]] for c in copies or []], np.int64).reshape(-1, 3).T]
             begin, reach, document = (np.concatenate([x[i] for x in lists]).astype(np.int64) for i in range(3))
@@ -419,7 +428,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, begin[use], 1)
             np.add.at(change, (begin + reach)[use], -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
             rows = []
             for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
                 own = gone[a:b]
@@ -436,7 +445,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text",
-                   bucket_blocks: int = 16) -> DataFrame:
+                   bucket_blocks: int = 4) -> DataFrame:
     """``id_column``, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (begin and end of each removed run, little-endian
     unsigned 32-bit integers) and ``kept`` (the bytes that stay) for every row.  ``length`` is above ``PIECE``;
     ``bucket_blocks`` is how many blocks' worth of anchors a bucket holds about."""
@@ -444,23 +453,23 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id
     rows = df.select(df[id_column].cast("bigint").alias("id"), df[text_column].cast("string").alias("text"))
     blocks = common.stored(rows.mapInArrow(_to_blocks, "block bigint, content binary, texts array<struct<id: bigint, digest: binary, begin: bigint, size: bigint>>"), "blocks")
     buckets = max(1, -(-blocks.count() // bucket_blocks))
-    lists = blocks.select("block", "content").mapInArrow(_hash_lists(buckets, length), "bucket int, block bigint, hashes binary")
-    answers = lists.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, bits binary")
-    answers = answers.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    # Both joins with the blocks are left joins over the same columns, so that Spark shuffles the blocks once.
-    contents = blocks.select("block", "content")
-    sent = contents.join(answers, F.col("block") == F.col("b"), "left").select("block", "content", "answers").mapInArrow(
-        _send(buckets, length), "bucket int, block bigint, segments binary")
-    spans = sent.groupBy("bucket").applyInArrow(_groups(length), "block bigint, spans binary")
-    spans = spans.groupBy(F.col("block").alias("b")).agg(F.collect_list("spans").alias("spans"))
     # Copies of whole texts: all but the smallest document of a digest.
     texts = blocks.select("block", F.explode("texts").alias("t")).where(F.col("t.size") >= length).select("block", "t.*")
     several = (texts.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("least"), F.max("id").alias("most"))
                .where("least < most").select("d", "least"))
-    copies = (texts.join(several, F.col("digest") == F.col("d")).where("id > least").groupBy(F.col("block").alias("c"))
-              .agg(F.collect_list(F.struct("begin", "size", "least")).alias("copies")))
-    found = spans.join(copies, F.col("b") == F.col("c"), "full").select(
-        F.coalesce("b", "c").alias("b"), "spans", "copies")
-    return (contents.join(found, F.col("block") == F.col("b"), "left").select("content", "spans", "copies")
+    copies = common.stored(
+        texts.join(several, F.col("digest") == F.col("d")).where("id > least").groupBy(F.col("block").alias("c"))
+        .agg(F.collect_list(F.struct("begin", "size", "least")).alias("copies")), "copies")
+    # All joins with the blocks are left joins over the same columns, so that Spark shuffles the blocks once.
+    contents = blocks.select("block", "content").join(copies, F.col("block") == F.col("c"), "left").select(
+        "block", "content", "copies")
+    lists = contents.mapInArrow(_hash_lists(buckets, length), "bucket int, block bigint, hashes binary")
+    answers = lists.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket int, bits binary")
+    answers = answers.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    sent = contents.join(answers, F.col("block") == F.col("b"), "left").select(
+        "block", "content", "copies", "answers").mapInArrow(_send(buckets, length), "bucket int, block bigint, segments binary")
+    spans = sent.groupBy("bucket").applyInArrow(_groups(length), "block bigint, spans binary")
+    spans = spans.groupBy(F.col("block").alias("b")).agg(F.collect_list("spans").alias("spans"))
+    return (contents.join(spans, F.col("block") == F.col("b"), "left").select("content", "spans", "copies")
             .mapInArrow(_cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans binary, kept binary")
             .withColumnRenamed("id", id_column))

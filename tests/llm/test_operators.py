@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -272,6 +274,45 @@ def test_maximal_groups_have_all_occurrences():
     assert want <= got
 
 
+def bucket_of(blocks, per_block):
+    """Segments of 60 bytes, one anchor each, that the next block has as well."""
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(97, 123, (blocks * per_block // 2, 60), np.uint8)
+    blobs = []
+    for b in range(blocks):
+        own = np.arange(per_block) + b // 2 * per_block
+        blobs.append(repeats._pack([
+            own.astype(np.uint64), np.full(per_block, 60, np.int16), np.full(per_block, b, np.int64),
+            np.full(per_block, b, np.int64), np.ones(per_block, np.int32), np.arange(per_block, dtype=np.int32) * 60,
+            kinds[own].ravel()]))
+    return pa.table({"block": pa.array(range(blocks), pa.int64()), "segments": pa.array(blobs, pa.binary())})
+
+
+def test_a_bucket_takes_no_longer_for_many_blocks():
+    """As many segments from 48 and from 16,000 blocks; a row per block costs some time, a pass over the bucket per block far more."""
+    settle, took = repeats._groups(50), []
+    for blocks in (48, 16_000):
+        table = bucket_of(blocks, 480_000 // blocks)
+        began = time.process_time()
+        out = settle(table)
+        took.append(time.process_time() - began)
+        # Blocks come in pairs of equal segments; the second loses all of them.
+        assert out.column("block").to_pylist() == list(range(1, blocks, 2))
+        begin, reach, document = repeats._unpack(out.column("spans")[-1].as_py())
+        assert begin.tolist() == list(range(0, 480_000 // blocks * 60, 60)) and set(reach.tolist()) == {60}
+        assert set(document.tolist()) == {blocks - 2}
+    assert took[1] < 6 * took[0]
+
+
+def test_repeats_do_not_depend_on_blocks(docs):
+    twice = docs.select("doc_id", "text").unionByName(docs.where("doc_id % 3 = 0").select(
+        (F.col("doc_id") - 1).alias("doc_id"), "text")).unionByName(docs.where("doc_id % 50 = 0").select(
+            F.lit(None).cast("bigint").alias("doc_id"), "text"))
+    one, many = (repeats.remove_repeats(twice.repartition(n), bucket_blocks=1).collect() for n in (1, 9))
+    same_rows([map(str, r) for r in one], [map(str, r) for r in many])
+    assert sum(r.n_removed == r.n_bytes > 50 for r in one) >= twice.count() // 5
+
+
 # ---------------------------------------------------------------- 6: secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
