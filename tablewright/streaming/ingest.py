@@ -10,6 +10,7 @@ before its version is registered, so the version names the place where it stays.
 from __future__ import annotations
 
 import datetime
+import time
 from collections.abc import Sequence
 from functools import partial
 
@@ -74,14 +75,27 @@ def empty_files(spark: SparkSession, folder: str, glob: str = "*") -> list[str]:
 
 
 def stream_file_ready(spark: SparkSession, folder: str, glob: str, quiet_seconds: float = 1.5) -> DataFrame:
-    """(path, size, ready): a file is ready when it has not changed for a while."""
+    """(path, size, ready): a file is ready when it had not changed for a while as the folder was listed."""
+    now = time.time()
     listed = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
               .option("recursiveFileLookup", False).load(folder)
               .select("path", F.col("length").alias("size"), "modificationTime"))
-    age = F.unix_micros(F.current_timestamp()) - F.unix_micros("modificationTime")
+    age = F.lit(int(now * 1e6)) - F.unix_micros("modificationTime")
     return listed.select("path", "size", (age >= F.lit(int(quiet_seconds * 1e6))).alias("ready"))
 
 
+def await_files_ready(spark: SparkSession, folder: str, glob: str, quiet_seconds: float = 1.5, limit_seconds: float = 30.0,
+                      interval_seconds: float = 0.5) -> DataFrame:
+    """``stream_file_ready`` once all files are ready, looked at twice a second; after ``limit_seconds`` as they are, so
+    files that still change are not ready."""
+    end = time.monotonic() + limit_seconds
+    while True:
+        found = stream_file_ready(spark, folder, glob, quiet_seconds)
+        if found.where(~F.col("ready")).isEmpty() or time.monotonic() >= end:
+            return found
+        time.sleep(interval_seconds)
+
+
 class IngestLog:
     """Append-only table of file events."""
 

@@ -1,3 +1,6 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,44 @@ def test_failed_file_is_logged(spark, tmp_path):
     assert row["batch_id"] == 3 and row["message"]
 
 
+def test_a_file_is_ready_when_its_writer_has_stopped(spark, tmp_path):
+    folder = tmp_path / "in"
+    _drop(folder, "a.csv", "id\n")
+    listed = ingest.stream_file_ready(spark, str(folder), "*.csv")
+
+    def write(seconds):
+        end = time.monotonic() + seconds
+        while time.monotonic() < end:
+            with open(folder / "a.csv", "a") as out:
+                out.write("1\n")
+            time.sleep(0.2)
+
+    writer = threading.Thread(target=write, args=(3,))
+    writer.start()
+    got = ingest.await_files_ready(spark, str(folder), "*.csv").collect()
+    assert not writer.is_alive()
+    assert [(r["size"], r["ready"]) for r in got] == [((folder / "a.csv").stat().st_size, True)]
+    assert [r["ready"] for r in listed.collect()] == [False]  # as it was when listed
+
+    writer = threading.Thread(target=write, args=(4,))
+    writer.start()
+    late = ingest.await_files_ready(spark, str(folder), "*.csv", limit_seconds=1)
+    writer.join()
+    time.sleep(1.6)
+    assert [r["ready"] for r in late.collect()] == [False]
+    assert ingest.await_files_ready(spark, str(folder), "none*").count() == 0
+
+
+def test_the_query_waits_for_quiet_files(spark, sf, monkeypatch):
+    from tablewright.registry import load_all
+    quiet, check = [], ingest.stream_file_ready
+    monkeypatch.setattr(ingest, "stream_file_ready", lambda spark, folder, glob, quiet_seconds=1.5: (
+        quiet.append(quiet_seconds), check(spark, folder, glob, quiet_seconds))[1])
+    got = load_all()[0]["stream_file_ready"](spark, sf).collect()
+    assert [tuple(r) for r in got] == [(True, 4)]
+    assert len(quiet) > 1 and set(quiet) == {1.5}
+
+
 def test_detect_only(spark, tmp_path):
     store, log = VersionStore(spark, str(tmp_path / "s")), ingest.IngestLog(spark, str(tmp_path / "log"))
     batch = spark.createDataFrame([(1, "x.csv")], "id int, __file string")
