@@ -314,7 +314,26 @@ def maximal_groups(text: np.ndarray, size: np.ndarray, length: int) -> Iterator[
     rows, width = text.shape
     windows = size - length + 1
     owner = np.repeat(np.arange(rows), windows)
-    place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = _spread(np.zeros(rows, np.int64), windows)
+    # Suffixes in one interval have the first window in common: those of a window that comes once are in none, and windows
+    # are sorted some at a time, so that an anchor with very many segments takes memory for one of its windows, not for all.
+    window = np.empty(len(owner), np.uint64)
+    for i in range(0, len(owner), CHUNK >> 2):
+        part = slice(i, i + (CHUNK >> 2))
+        window[part] = _digest(_rows(text.ravel(), owner[part] * width + place[part], np.full(len(owner[part]), length), length))
+    order = np.argsort(window, kind="stable")
+    first = np.flatnonzero(np.r_[True, window[order][1:] != window[order][:-1]][:len(order)])
+    count = np.diff(np.r_[first, len(order)])
+    first, count = first[count > 1], count[count > 1]
+    for _, own in _dealt(np.cumsum(count) // (CHUNK >> 1)):
+        these = order[_spread(first[own], count[own])]
+        yield from _intervals(text, size, length, owner[these], place[these])
+
+
+def _intervals(text: np.ndarray, size: np.ndarray, length: int, owner: np.ndarray,
+               place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The maximal repeats among these suffixes."""
+    width = text.shape[1]
     suffix = _rows(text.ravel(), owner * width + place, size[owner] - place, width)
     left = np.where(place > 0, text[owner, np.maximum(place - 1, 0)].astype(np.int32), -1 - owner)
     order = np.lexsort((*suffix.T[::-1],))
@@ -364,7 +383,7 @@ def _groups(length: int):
         order = np.lexsort((digest, size, hashes))
         new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])
                     | (digest[order][1:] != digest[order][:-1])]
-        kind = np.empty(len(order), np.int64)
+        kind = np.empty(len(order), np.int32)
         kind[order] = np.cumsum(new) - 1           # equal segments have one number
         first = np.flatnonzero(new)
         sample = order[first]
@@ -374,8 +393,8 @@ def _groups(length: int):
         bounds = np.r_[anchors, len(anchor)]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         # A segment occurs whole, and its smallest document is known: one maximal group per kind.
-        kinds = np.arange(len(sample))
-        found.append((kinds, np.zeros(len(kinds), np.int64), size[sample], smallest))
+        kinds = np.arange(len(sample), dtype=np.int32)
+        found.append((kinds, np.zeros(len(kinds), np.int16), size[sample].astype(np.int16), smallest))
         wide = np.flatnonzero(np.diff(bounds) > 1)
         step = []
         total = 0
@@ -387,10 +406,15 @@ def _groups(length: int):
                 own = np.concatenate(step)
                 text = _rows(data, starts[sample[own]], size[sample[own]], 2 * length - PIECE)
                 text = text.astype(">u8").view(np.uint8).reshape(len(own), -1)
-                groups = []
+                groups, held = [], 0
                 for which, offset, reach in maximal_groups(text, size[sample[own]], length):
                     member = own[which]
-                    groups.append((member, offset, np.full(len(member), reach), np.full(len(member), smallest[member].min())))
+                    groups.append((member.astype(np.int32), offset.astype(np.int16), np.full(len(member), reach, np.int16),
+                                   np.full(len(member), smallest[member].min())))
+                    held += len(member)
+                    if held >= CHUNK:
+                        found.append(_telling(*map(np.concatenate, zip(*groups))))
+                        groups, held = [], 0
                 if groups:
                     found.append(_telling(*map(np.concatenate, zip(*groups))))
                 step, total = [], 0
